@@ -40,6 +40,15 @@ def windows(hashes: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(hashes) >= window, F.transform(F.sequence(F.lit(0), F.size(hashes) - window), gram)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _once(value: Column) -> Column:
+    """``value``, in a projection that no filter is pushed through.
+
+    A filter on a statistic would otherwise be rewritten in terms of the text,
+    with every array expression again inside the function over its elements.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "", window: int = WINDOW) -> DataFrame:
     """Add the statistics of each whole text, named ``prefix`` + name.
 
@@ -69,7 +78,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "", w
             f"{p}n_upper": (length - F.length(F.regexp_replace(F.col(t), r"\p{Lu}+", ""))).cast("long"),
             f"{p}n_marks": (length - F.length(F.translate(F.col(t), "!?", ""))).cast("long"),
             f"{p}n_digits": (length - F.length(F.translate(F.col(t), "0123456789", ""))).cast("long"),
-            f"{p}n_repeat_words": F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
+            f"{p}n_repeat_words": _once(F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")),
         }
     )
     return df.drop(t, w, g, r)
