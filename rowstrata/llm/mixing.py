@@ -100,7 +100,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         return F.when(demand - start > F.col("size") / 2, F.col("size")).otherwise(F.lit(0).cast("long"))
 
     def position(start: Column, took: Column) -> Column:
-        share = F.least(F.lit(1.0), (start + took / 2) / F.col("target"))
+        share = F.least(F.lit(1.0), F.try_divide(start + took / 2, F.col("target")))
         by = F.lit(None).cast("double")
         for i, knots in enumerate(schedules):
             by = F.when(F.col("rank") % len(schedules) == i, inverse(share, knots)).otherwise(by)

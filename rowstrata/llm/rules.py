@@ -94,7 +94,7 @@ RATIOS = {
 
 def ratio(name: str, prefix: str = "") -> Column:
     over, under = RATIOS[name]
-    return F.coalesce(F.col(f"{prefix}{over}") / F.col(f"{prefix}{under}"), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.col(f"{prefix}{over}").cast("double"), F.col(f"{prefix}{under}").cast("double")), F.lit(0.0))
 
 
 def base_failed(prefix: str = "", least: int = LEAST_WORDS, share: float = MOST_REPEATED) -> Column:
