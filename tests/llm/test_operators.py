@@ -329,7 +329,7 @@ def test_decision_list_finds_a_conjunction():
 
 def test_judge_follows_the_ordered_list(spark):
     learned = [rules.Rule((rules.Test("symbol_share", True, 0.1),), 1.0, 9), rules.Rule((rules.Test("upper_share", True, 0.5), rules.Test("repeat_share", False, 0.5)), 1.0, 9)]
-    texts = ["# " * 12 + "w", "ABC DEF " * 2 + " ".join("UVWXYZ" * 2), "plain words " + " ".join(map(str, range(20))), None]
+    texts = ["# " * 12 + "w", "ABC DEF " * 2 + " ".join("UVWXYZ"), "plain words " + " ".join(map(str, range(20))), None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: (r["rule"], r["kept"]) for r in rows_of(rules.judge(df, learned))}
     assert got[1] == (2, False) and got[2] == (0, True) and got[0][0] == 1 and got[3] == (0, False)
