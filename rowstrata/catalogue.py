@@ -355,15 +355,16 @@ def _(spark, d):
     return table(spark, d, "lineitem").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("avg_qty"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("returned"))
 
 
-def _top(name: str, order: list, sql_order: str, limit: int = 10, offset: int = 0) -> None:
-    QUERIES[name] = lambda spark, d: table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(*order).offset(offset).limit(limit)
+def _top(name: str, order: list[str], ascending: list[bool], limit: int = 10, offset: int = 0) -> None:
+    sql_order = ", ".join(c if up else f"{c} DESC" for c, up in zip(order, ascending))
+    QUERIES[name] = lambda spark, d: table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(*order, ascending=ascending).offset(offset).limit(limit)
     ORACLE_SQL[name] = f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {sql_order} LIMIT {limit} OFFSET {offset}"
 
 
-_top("topk_asc", [F.asc("o_totalprice"), "o_orderkey"], "o_totalprice, o_orderkey")
-_top("topk_desc", [F.desc("o_totalprice"), "o_orderkey"], "o_totalprice DESC, o_orderkey")
-_top("topk_offset", [F.desc("o_totalprice"), "o_orderkey"], "o_totalprice DESC, o_orderkey", 10, 25)
-_top("order_limit", ["o_orderkey"], "o_orderkey", 10)
+_top("topk_asc", ["o_totalprice", "o_orderkey"], [True, True])
+_top("topk_desc", ["o_totalprice", "o_orderkey"], [False, True])
+_top("topk_offset", ["o_totalprice", "o_orderkey"], [False, True], 10, 25)
+_top("order_limit", ["o_orderkey"], [True])
 
 
 @query("fn_concat", "SELECT r_regionkey, concat(r_name, '') AS s FROM region")
