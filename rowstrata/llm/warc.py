@@ -84,6 +84,8 @@ def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     large = F.octet_length("payload") >= least
     first = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("rep_digest"), "first_id")
     # small payloads get keys of their own, else the empty page would be a hot key that joins nothing
+    # stored, its size is known when the join is planned: few repeated payloads are broadcast, and html isn't shuffled
+    first = common.store(first, "warc-repeated")
     key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("#"), F.xxhash64("page_id", "url").cast("string")))
     joined = rows.withColumn("key", key).join(first, F.col("key") == F.col("rep_digest"), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
