@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_chat": chat.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op4_warc": warc.OP4_SQL, "op5_sharding": sharding.op5_sql(), "op6_chat": chat.OP6_SQL}

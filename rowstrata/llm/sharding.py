@@ -110,9 +110,14 @@ def _placed_sql(tree: Tree, table: str, out: str) -> str:
 
 
 def op5_sql() -> str:
-    """The query without ``text_crc32``, which DuckDB lacks; a test compares the rest."""
-    base = "SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 16)::BIGINT AS size, coalesce(doc_id::VARCHAR, '') AS k FROM documents"
+    """The query in DuckDB SQL. CRC-32, which DuckDB lacks, folds the bytes over a table made by its rule (polynomial 0xEDB88320)."""
+    crc = """
+      WITH crc_table AS (SELECT list(x ORDER BY i) AS t FROM (
+        SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN (x & 1) = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS x FROM range(256) r(i))),
+      body AS (SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+      a AS (SELECT doc_id, (len(bytes) + 16)::BIGINT AS size, coalesce(doc_id::VARCHAR, '') AS k,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) AS text_crc32 FROM body, crc_table)"""
     return (
-        f"WITH a AS ({base}), b AS ({_placed_sql(topology(SHARDS), 'a', 'shard')}), c AS ({_placed_sql(topology(SHARDS + 1), 'b', 'grown_shard')}) "
-        "SELECT doc_id, size, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k), 1, 15))::BIGINT, doc_id, size) - 1)::BIGINT AS slot, grown_shard FROM c"
+        f"{crc}, b AS ({_placed_sql(topology(SHARDS), 'a', 'shard')}), c AS ({_placed_sql(topology(SHARDS + 1), 'b', 'grown_shard')}) "
+        "SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k), 1, 15))::BIGINT, doc_id, size, text_crc32) - 1)::BIGINT AS slot, grown_shard FROM c"
     )

@@ -250,16 +250,6 @@ def test_slots_and_checksums(spark):
     assert rows_of(sharding.shard_documents(empty(spark), sharding.topology(40))) == []
 
 
-def test_op5_sql_agrees(spark, small):
-    duckdb = pytest.importorskip("duckdb")
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
-    want = sorted(con.sql(sharding.op5_sql()).fetchall())
-    got = sharding.op5_sharding(spark, small).select("doc_id", "size", "law", "shard", "grown_shard", "slot")
-    names = [c[0] for c in con.sql(sharding.op5_sql()).description]
-    assert sorted(tuple(r) for r in got.select(*names).collect()) == want
-
-
 # ---- op6
 
 _text = st.text(st.sampled_from("ab\\#</>:\n turnü\U0001f600"), max_size=30) | st.sampled_from(["### assistant: x</turn>\n", "\\</turn>", "#" * 7, "\\" * 5])
