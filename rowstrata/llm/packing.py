@@ -13,10 +13,13 @@ table gives no windows.
 
 from __future__ import annotations
 
+import codecs
 import math
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +32,17 @@ END_ID = 2
 #: Tokens of the pieces that are packed together: about 2,000 windows.
 GROUP_TOKENS = 8 << 20
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+
+
+#: Latin letters that are alike in every normal form (no dotted capital I), then marks but the apostrophe.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+#: Byte-level vocabularies write a byte as itself where it prints in Latin-1, else as the next free letter from U+0100; blanks part words.
+_PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SPARE = iter(range(0x100, 0x200))
+_BYTE_LETTERS = "".join(chr(b if b in _PRINTS else next(_SPARE)) for b in range(256)).replace(chr(0x120), " ")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -47,25 +60,63 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, size: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.size, self.known = Tokenizer.from_file(path), size, {}
+        # the merges alone, for words that need no normalizing and no splitting
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: Iterable[bytes]) -> None:
-        new = list(words)
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, b"".join(i.to_bytes(4, "little") for i in e.ids)) for w, e in zip(new, encoded))
+        """Remember the ids of words.
+
+        A word of plain letters is one pre-token, so it ends at the first id that
+        ends a word: such words are encoded in one run and cut at those ids.
+        Marks behind it are a pre-token of their own. Other words go one by one.
+        """
+        plain: dict[str, bytes] = {}
+        marked: list[tuple[bytes, str, bytes]] = []
+        other: list[bytes] = []
+        for w in words:
+            m = _PLAIN.fullmatch(w.decode())
+            if m is None:
+                other.append(w)
+                continue
+            letters, marks = m[1].lower(), m[2].encode()
+            plain[letters] = b""
+            marked.append((w, letters, marks))
+            if marks and marks not in self.known:
+                other.append(marks)
+        if plain:
+            text, _ = codecs.charmap_decode(" ".join(plain).encode(), "strict", _BYTE_LETTERS)
+            ids = np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(plain) or ends[-1] != 4 * len(ids):
+                raise ValueError("the vocabulary does not end words as expected")
+            body, at = ids.tobytes(), 0
+            for letters, end in zip(plain, ends):
+                plain[letters] = body[at:end]
+                at = end
+        other = list(dict.fromkeys(other))
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, encoded))
+        known = self.known
+        known.update((w, plain[letters] + known[marks] if marks else plain[letters]) for w, letters, marks in marked)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        known = self.known
+        known, together = self.known, []
         for text in texts:
-            words = text.split()
-            missing = {w for w in words if w not in known}
-            if missing:
-                if len(known) + len(missing) > self.size:
-                    known.clear()
-                    missing = set(words)
-                self.learn(missing)
+            # the vocabulary is of lower case; only the strings of special ids are not
+            together.append((text if b"<|" in text else text.lower()).split())
+        missing = {w for words in together for w in words if w not in known}
+        if len(known) + len(missing) > self.size:
+            known.clear()
+            missing = {w for words in together for w in words}
+        self.learn(missing)
+        for words in together:
             yield b"".join(map(known.__getitem__, words))
 
 
