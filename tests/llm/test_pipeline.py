@@ -1,11 +1,17 @@
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rowstrata.llm import queries
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
 
 def test_stages_keep_the_columns_and_shrink(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("__score", F.lit("mine"))
@@ -39,3 +45,75 @@ def test_oracles(spark, small, name):
     assert sorted(got.columns) == sorted(names)
     show = lambda rows: sorted(str(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
     assert show(tuple(r) for r in got.select(*names).collect()) == show(want.fetchall())
+
+
+def _taken_whole(docs):
+    """Copies of each doc_id by the mixing rule, in plain Python."""
+    size = {d["doc_id"]: len(_WORD.findall(d["text"] or "")) for d in docs}
+    total = {}
+    for d in docs:
+        total[d["source"]] = total.get(d["source"], 0) + size[d["doc_id"]]
+    order = sorted(total, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(total.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * total[s]}
+        for s in over or free:
+            target[s] = 2.0 * total[s] if over else level * weight[s]
+            left -= target[s]
+        free -= over or free
+    copies = {}
+    for s in order:
+        own = sorted((d["doc_id"] for d in docs if d["source"] == s), key=lambda i: (int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), i))
+        at = 0
+        for again in (0, 1):
+            for i in own:
+                if round(target[s]) - at > size[i] / 2 and size[i]:
+                    copies[i] = copies.get(i, 0) + 1
+                at += size[i]
+    return copies
+
+
+def test_pipeline_against_brute_force(spark, small):
+    docs = [r.asDict() for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    frame, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    learned = queries.rules.learn(frame, labels)
+    measured = {r["doc_id"]: r for r in queries.rules.judge(frame, learned).collect()}
+    left = []
+    for d in docs:
+        words = _WORD.findall(d["text"])
+        grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        repeated = len({i + k for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for k in range(5)})
+        m = measured[d["doc_id"]]
+        assert (m["n_words"], m["n_repeat_words"]) == (len(words), repeated)
+        share = lambda t: m[queries.rules.RATIOS[t.name][0]] / max(1, m[queries.rules.RATIOS[t.name][1]])  # noqa: B023, E731
+        if len(words) >= 10 and 100 * repeated <= 20 * len(words) and not any(all(t.holds(share(t)) for t in r.tests) for r in learned):
+            left.append(d)
+    model = queries.toxicity.learn(spark.createDataFrame(left, frame.schema), labels)
+    if model is not None:
+        scores = model.score(queries.toxicity.np.array(queries.toxicity.Scorer(model).texts(d["text"] for d in left)))
+        left = [d for d, s in zip(left, scores) if s < queries.toxicity.THRESHOLD]
+    left.sort(key=lambda d: d["doc_id"])
+    prints = [queries.simhash.fingerprint(d["text"].encode()) for d in left]
+    group = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    left = [d for i, d in enumerate(left) if group[i] == i]
+    copies = _taken_whole(left)
+    encoder = queries.packing.WordEncoder(queries.packing.tokenizer_path())
+    want = Counter({d["doc_id"]: (len(next(encoder.encode([d["text"].encode()]))) // 4 + 1) * copies[d["doc_id"]] for d in left if d["doc_id"] in copies})
+    got, used = Counter(), {}
+    for r in corpus_pipeline.run(spark, small).collect():
+        got[r["doc_id"]] += r["length"]
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert got == want
+    for spans in used.values():
+        ends = [0]
+        for offset, length in sorted(spans):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 4096
