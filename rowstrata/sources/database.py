@@ -30,6 +30,18 @@ ROWID, SEQ = "__rowid", "__seq"
 DEFAULT_SCHEMAS = ("main", "pg_catalog", "information_schema", "temp")
 
 
+_OWN = [T.StructField(ROWID, T.LongType()), T.StructField(SEQ, T.LongType())]
+
+
+def _alike(entries: Iterable[dict], *keys: str) -> list[tuple[tuple, list[str]]]:
+    """Folders of the entries that agree in ``keys``, with what they agree in."""
+    groups: dict[str, tuple[tuple, list[str]]] = {}
+    for e in entries:
+        values = tuple(e[k] for k in keys)
+        groups.setdefault(json.dumps(values, sort_keys=True), (values, []))[1].append(e["dir"])
+    return list(groups.values())
+
+
 class DatabaseError(Exception):
     pass
 
@@ -223,7 +235,8 @@ class Connection:
             if shift and key in txn.deleted and self._ids(txn.deleted[key]).where(F.col(ROWID) >= before["next_rowid"]).limit(1).count():
                 raise ConflictError(f"rows that this transaction put into {key} and changed got other ids")
             for e in added:
-                e = {**e, "seq": state["next"], **({"base": e["base"] + shift} if e["kind"] == "insert" else {})}
+                moved = {"rowid_shift": e["rowid_shift"] + shift} if e["kind"] == "insert" else {}
+                e = {**e, **moved, "seq_shift": e["seq_shift"] + state["next"] - e["seq"], "seq": state["next"]}
                 state["next"] += 1
                 theirs["deletes" if e["kind"] == "delete" else "data"].append(e)
             theirs["next_rowid"] += txn.state["schemas"][schema][table]["next_rowid"] - before["next_rowid"]
@@ -438,44 +451,44 @@ class Connection:
                 return 0
             folder = self._folder()
             at = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.spark_partition_id() + 1)
-            body = body.withColumn(ROWID, at + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-            body.write.parquet(f"{self.db.root}/{folder}")
-            self._add(txn, key, t, {"dir": folder, "kind": "insert", "base": t["next_rowid"], "rows": total})
+            seq = self._seq(txn)
+            body = body.withColumn(ROWID, at + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + t["next_rowid"])
+            body.withColumn(SEQ, F.lit(seq).cast("long")).write.parquet(f"{self.db.root}/{folder}")
+            self._add(txn, key, t, {"dir": folder, "kind": "insert", "rows": total}, seq)
             t["next_rowid"] += total
             return total
 
-    def _add(self, txn: Transaction, key: str, t: dict, entry: dict) -> None:
-        entry |= {"seq": txn.state["next"], "alters": t["alters"], "types": {c["id"]: c["type"] for c in t["columns"]}}
+    @staticmethod
+    def _seq(txn: Transaction) -> int:
         txn.state["next"] += 1
+        return txn.state["next"] - 1
+
+    def _add(self, txn: Transaction, key: str, t: dict, entry: dict, seq: int) -> None:
+        """Record files whose rows hold their ids and ``seq``. A rebase shifts both without writing them again."""
+        entry |= {"seq": seq, "rowid_shift": 0, "seq_shift": 0, "alters": t["alters"], "types": {c["id"]: c["type"] for c in t["columns"]}}
         t["deletes" if entry["kind"] == "delete" else "data"].append(entry)
         txn.appended.setdefault(key, []).append(entry)
 
     def _rows(self, t: dict) -> DataFrame:
-        """All visible rows with their row ids: stored files of one kind are read together."""
+        """All visible rows with their row ids. Files of one kind are read by one scan, however many commits wrote them."""
         parts: DataFrame | None = None
-        groups: dict[str, list[dict]] = {}
-        for e in t["data"]:
-            groups.setdefault(json.dumps([e["types"], e["alters"]], sort_keys=True), []).append(e)
-        for entries in groups.values():
-            types, alters = entries[0]["types"], entries[0]["alters"]
-            schema = T.StructType([T.StructField(i, parse_type(k).spark()) for i, k in types.items()] + [T.StructField(ROWID, T.LongType())])
+        for (types, alters, moved, later), folders in _alike(t["data"], "types", "alters", "rowid_shift", "seq_shift"):
             columns = []
             for c in t["columns"]:
-                kind = parse_type(c["type"]).spark()
                 col = F.col(c["id"]) if c["id"] in types else F.lit(c["default"] if c["since"] > alters else None)
-                columns.append(col.cast(kind).alias(c["id"]))
-            for e in entries:
-                df = self.spark.read.schema(schema).parquet(f"{self.db.root}/{e['dir']}")
-                df = df.select(*columns, (F.col(ROWID) + e.get("base", 0)).alias(ROWID), F.lit(e["seq"]).cast("long").alias(SEQ))
-                parts = df if parts is None else parts.unionByName(df)
+                columns.append(col.cast(parse_type(c["type"]).spark()).alias(c["id"]))
+            stored = T.StructType([T.StructField(i, parse_type(k).spark()) for i, k in types.items()] + _OWN)
+            df = self.spark.read.schema(stored).parquet(*[f"{self.db.root}/{d}" for d in folders])
+            df = df.select(*columns, (F.col(ROWID) + moved).alias(ROWID), (F.col(SEQ) + later).alias(SEQ))
+            parts = df if parts is None else parts.unionByName(df)
         if parts is None:
-            schema = T.StructType([T.StructField(c["id"], parse_type(c["type"]).spark()) for c in t["columns"]] + [T.StructField(ROWID, T.LongType()), T.StructField(SEQ, T.LongType())])
-            parts = self.spark.createDataFrame([], schema)
-        if t["deletes"]:
-            gone = None
-            for e in t["deletes"]:
-                d = self._ids([e["dir"]]).select(F.col(ROWID).alias("__gone"), F.lit(e["seq"]).cast("long").alias("__at"))
-                gone = d if gone is None else gone.unionByName(d)
+            parts = self.spark.createDataFrame([], T.StructType([T.StructField(c["id"], parse_type(c["type"]).spark()) for c in t["columns"]] + _OWN))
+        gone: DataFrame | None = None
+        for (later,), folders in _alike(t["deletes"], "seq_shift"):
+            d = self.spark.read.schema(T.StructType(_OWN)).parquet(*[f"{self.db.root}/{d}" for d in folders])
+            d = d.select(F.col(ROWID).alias("__gone"), (F.col(SEQ) + later).alias("__at"))
+            gone = d if gone is None else gone.unionByName(d)
+        if gone is not None:
             gone = gone.groupBy("__gone").agg(F.max("__at").alias("__at"))
             parts = parts.join(gone, (F.col(ROWID) == F.col("__gone")) & (F.col("__at") > F.col(SEQ)), "left_anti")
         return parts
@@ -511,10 +524,11 @@ class Connection:
             t = self._table(txn.state, table)
             folder = self._folder()
             live = self._rows(t).select(ROWID).join(self._wanted(rowids), ROWID, "left_semi")
-            live.write.parquet(f"{self.db.root}/{folder}")
+            seq = self._seq(txn)
+            live.withColumn(SEQ, F.lit(seq).cast("long")).write.parquet(f"{self.db.root}/{folder}")
             n = self._ids([folder]).count()
             if n:
-                self._add(txn, key, t, {"dir": folder, "kind": "delete", "rows": n})
+                self._add(txn, key, t, {"dir": folder, "kind": "delete", "rows": n}, seq)
                 txn.deleted.setdefault(key, []).append(folder)
             return n
 
@@ -533,18 +547,18 @@ class Connection:
             kinds = {c["id"]: parse_type(c["type"]).spark() for c in t["columns"]}
             joined = rows.join(new, F.col(ROWID) == F.col("__id"))
             fresh = joined.select(*[(F.col(f"__new_{i}").cast(k) if i in ids else F.col(i)).alias(i) for i, k in kinds.items()], ROWID)
-            folder = self._folder()
-            fresh.write.parquet(f"{self.db.root}/{folder}")
+            folder, before, after = self._folder(), self._seq(txn), self._seq(txn)
+            fresh.withColumn(SEQ, F.lit(after).cast("long")).write.parquet(f"{self.db.root}/{folder}")
             n = self.spark.read.schema(f"{ROWID} long").parquet(f"{self.db.root}/{folder}")
             found, asked = n.count(), changes.count()
             if found != asked:
                 self.db.store.delete(folder)
                 raise DatabaseError(f"{asked} rows were to be updated, {found} exist: unknown or repeated row ids")
             gone = self._folder()
-            n.write.parquet(f"{self.db.root}/{gone}")
-            self._add(txn, key, t, {"dir": gone, "kind": "delete", "rows": found})
+            n.withColumn(SEQ, F.lit(before).cast("long")).write.parquet(f"{self.db.root}/{gone}")
+            self._add(txn, key, t, {"dir": gone, "kind": "delete", "rows": found}, before)
             txn.deleted.setdefault(key, []).append(gone)
-            self._add(txn, key, t, {"dir": folder, "kind": "update", "rows": found})
+            self._add(txn, key, t, {"dir": folder, "kind": "update", "rows": found}, after)
             return found
 
     def checkpoint(self, table: str) -> None:
@@ -552,11 +566,10 @@ class Connection:
         key = self._key(table)
         with self._write() as txn:
             t = self._table(txn.state, table)
-            folder = self._folder()
-            self._rows(t).drop(SEQ).write.parquet(f"{self.db.root}/{folder}")
-            entry = {"dir": folder, "kind": "compact", "rows": 0, "seq": txn.state["next"], "alters": t["alters"], "types": {c["id"]: c["type"] for c in t["columns"]}}
-            txn.state["next"] += 1
-            t["data"], t["deletes"] = [entry], []
+            folder, seq = self._folder(), self._seq(txn)
+            self._rows(t).withColumn(SEQ, F.lit(seq).cast("long")).write.parquet(f"{self.db.root}/{folder}")
+            t["data"], t["deletes"] = [], []
+            self._add(txn, key, t, {"dir": folder, "kind": "compact"}, seq)
             txn.touched.add(f"table:{key}")
 
     def files(self, table: str) -> list[Mapping]:
