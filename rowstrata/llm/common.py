@@ -36,8 +36,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete what this process put into the shared folder; for when no result is still to be computed from it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
 
 
 def store(df: DataFrame, label: str) -> DataFrame:

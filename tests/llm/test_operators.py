@@ -544,3 +544,12 @@ def test_bucketed_prefix(spark):
         for r in sorted((r for r in got if r["g"] == g), key=lambda r: (r["key"], r["id"])):
             assert r["before"] == total
             total += r["v"]
+
+
+def test_stored_tables_can_be_dropped(spark):
+    path = common.fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert common.drop_stored(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
