@@ -19,6 +19,15 @@ class ScanRequest:
     def __init__(self, columns: Sequence[str | int] | None = None) -> None:
         self.columns = list(columns or [])
         self.filters = FilterSet()
+        self.fraction: float | None = None
+        self.seed: int | None = None
+
+    def sample(self, fraction: float, seed: int | None = None) -> ScanRequest:
+        """Return about this share of the matching rows."""
+        if not 0 <= fraction <= 1:
+            raise ValueError("a share lies between 0 and 1")
+        self.fraction, self.seed = fraction, seed
+        return self
 
     def push_filter(self, column: str, new: Filter) -> ScanRequest:
         self.filters.push(column, new)
@@ -42,7 +51,8 @@ class ScanRequest:
             if name.lower() not in known:
                 raise KeyError(f"no column {name!r}{did_you_mean(name, df.columns)}")
             df = df.where(f.column(F.col(f"`{known[name.lower()]}`")))
-        return df.select(*[f"`{c}`" for c in columns])
+        df = df.select(*[f"`{c}`" for c in columns])
+        return df if self.fraction is None else df.sample(self.fraction, self.seed)
 
     def sql(self, table: str) -> str:
         return f"SELECT {', '.join(map(str, self.columns)) or '*'} FROM {table} WHERE {self.filters.sql()}"

@@ -374,6 +374,23 @@ class Connection:
         with self._alter(table) as t:
             self._column(t, name)["type"] = str(parse_type(kind))
 
+    def set_default(self, table: str, name: str, default: object) -> None:
+        """The value for columns that an insert leaves out; stored rows keep theirs."""
+        with self._alter(table) as t:
+            self._column(t, name)["fill"] = default
+
+    def set_not_null(self, table: str, name: str, on: bool = True) -> None:
+        """Refuse NULLs from now on; rows stored before must hold none."""
+        with self._alter(table) as t:
+            c = self._column(t, name)
+            if on and self._rows(t).where(F.col(c["id"]).isNull()).limit(1).count():
+                raise DatabaseError(f"{name} holds NULLs")
+            c["not_null"] = on
+
+    def comment(self, table: str, text: str | None, column: str | None = None) -> None:
+        with self._alter(table) as t:
+            (self._column(t, column) if column else t)["comment"] = text
+
     def rename_table(self, name: str, to: str) -> None:
         key, new = self._key(name), self._key(to)
         with self._write() as txn:
@@ -423,11 +440,16 @@ class Connection:
     def _physical(self, t: dict, df: DataFrame) -> list:
         """The declared columns of ``df``, checked and cast, under their physical names."""
         known = {c.lower(): c for c in df.columns}
-        if len(known) != len(t["columns"]) or any(c["name"].lower() not in known for c in t["columns"]):
+        names = {c["name"].lower() for c in t["columns"]}
+        left_out = {c["name"].lower() for c in t["columns"] if "fill" in c} - set(known)
+        if set(known) | left_out != names:
             raise DatabaseError(f"columns {[c['name'] for c in t['columns']]} are asked for, not {df.columns}")
         out = []
         for c in t["columns"]:
-            spec, col = parse_type(c["type"]), F.col(f"`{known[c['name'].lower()]}`")
+            spec, key = parse_type(c["type"]), c["name"].lower()
+            col = F.col(f"`{known[key]}`") if key in known else F.lit(c["fill"])
+            if c.get("not_null"):
+                col = F.coalesce(col, F.raise_error(F.lit(f"{c['name']} takes no NULL")))
             if (wrong := spec.check(col)) is not None:
                 col = F.when(F.assert_true(~wrong, f"a value of {c['name']} is no {c['type']}").isNull(), col)
             out.append(col.cast(spec.spark()).alias(c["id"]))
@@ -572,6 +594,17 @@ class Connection:
             self._add(txn, key, t, {"dir": folder, "kind": "compact"}, seq)
             txn.touched.add(f"table:{key}")
 
+    def copy_from(self, table: str, path: str, format: str = "parquet", **options) -> int:
+        """Insert the rows of files; text formats are read with the table's types, never inferred."""
+        t = self._table(self._state, table)
+        schema = T.StructType([T.StructField(c["name"], parse_type(c["type"]).spark()) for c in t["columns"]])
+        reader = self.spark.read.options(**options)
+        return self.insert(table, (reader.schema(schema) if format in ("csv", "json") else reader).format(format).load(path))
+
+    def copy_to(self, table: str, path: str, format: str = "parquet", request: ScanRequest | None = None, **options) -> None:
+        """Write the visible rows (or those of a request) as files."""
+        self.scan(table, request).write.options(**options).format(format).save(path)
+
     def files(self, table: str) -> list[Mapping]:
         """What the manifest holds of a table's data."""
         t = self._table(self._state, table)

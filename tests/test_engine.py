@@ -293,3 +293,37 @@ def test_statistics_flags(spark):
     assert (r["is_constant"], r["has_null"], r["has_unicode"], r["max_bytes"]) == (False, True, False, 1)
     assert "approx_distinct" not in stats.column_stats(df, "l").columns
     assert stats.column_stats(df.limit(0), "k").first()["has_null"] is False
+
+
+def test_defaults_not_null_and_comments(spark):
+    con = _accounts(spark)
+    con.set_default("accounts", "active", False)
+    con.insert("accounts", spark.createDataFrame([(6, 600)], "id int, balance int"))
+    assert con.fetch("accounts", [5]).first()["active"] is False
+    con.set_not_null("accounts", "balance")
+    with pytest.raises(Exception, match="takes no NULL"):
+        con.insert("accounts", [(7, None, True)])
+    con.set_not_null("accounts", "balance", False)
+    con.insert("accounts", [(7, None, True)])
+    with pytest.raises(DatabaseError, match="holds NULLs"):
+        con.set_not_null("accounts", "balance")
+    con.comment("accounts", "books", "id")
+    with pytest.raises(DatabaseError):
+        con.insert("accounts", spark.createDataFrame([(6,)], "id int"))
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
+def test_files_in_and_out(spark, tmp_path, kind):
+    con = _accounts(spark)
+    con.copy_to("accounts", str(tmp_path / "out"), kind)
+    con.create_table("again", [("id", "INTEGER"), ("balance", "INTEGER"), ("active", "BOOLEAN")])
+    assert con.copy_from("again", str(tmp_path / "out"), kind) == 5
+    assert sorted(map(tuple, con.scan("again").collect())) == sorted(map(tuple, con.scan("accounts").collect()))
+
+
+def test_sampled_scan(spark):
+    df = spark.range(10_000)
+    n = ScanRequest().push_filter("id", Compare("<", 5000)).sample(0.1, 3).apply(df).count()
+    assert 350 < n < 650
+    with pytest.raises(ValueError):
+        ScanRequest().sample(2)
