@@ -212,6 +212,16 @@ def _(spark, d):
     return con.scan("orders").select("o_orderkey", "o_custkey")
 
 
+@query("copy_csv", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
+def _(spark, d):
+    con = _orders(spark, d)
+    path = f"{con.db.root}/export"
+    con.copy_to("orders", path, "csv", ScanRequest(["o_orderkey", "o_totalprice"]).push_filter("o_orderstatus", Compare("=", "O")))
+    con.create_table("back", [("o_orderkey", "BIGINT"), ("o_totalprice", "DOUBLE")])
+    con.copy_from("back", path, "csv")
+    return con.scan("back")
+
+
 @query("view_scan", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
 def _(spark, d):
     con = _orders(spark, d)
@@ -225,6 +235,36 @@ def _(spark, d):
     return keys.select("n_nationkey", (10 + 5 * (F.row_number().over(Window.orderBy("n_nationkey")) - 1)).cast("long").alias("id"))
 
 
+_STUDENTS = "SELECT i AS id, 18 + i % 10 AS age, 50 + i % 50 AS score FROM range(1, 10001) t(i)"
+
+
+@query("students_scan", f"SELECT age, count(*) AS n, min(score) AS low, max(score) AS high FROM ({_STUDENTS}) WHERE id > 100 GROUP BY age")
+def _(spark, d):
+    """Bulk insert of integers, then a filtered scan."""
+    con = scratch_database(spark).connect()
+    con.create_table("students", [("id", "INTEGER"), ("age", "INTEGER"), ("score", "INTEGER")])
+    i = F.col("id")
+    con.insert("students", spark.range(1, 10_001).select(i.cast("int").alias("id"), (18 + i % 10).cast("int").alias("age"), (50 + i % 50).cast("int").alias("score")))
+    rows = con.scan("students", ScanRequest(["age", "score"]).push_filter("id", Compare(">", 100)))
+    return rows.groupBy("age").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+
+
+@query(
+    "students_nested",
+    "SELECT i AS id, array_to_string(list_transform(range(i % 3 + 1), lambda j: 1000 + (i + j) % 200), '|') AS courses, (i % 3 + 1) AS n, 70 + i % 25 AS second, 18 + i % 10 AS age FROM range(1, 2001) t(i)",
+)
+def _(spark, d):
+    """Lists, fixed arrays and structs through storage and a checkpoint."""
+    con = scratch_database(spark).connect()
+    con.create_table("s", [("id", "INTEGER"), ("course_ids", "LIST(INTEGER)"), ("scores", "ARRAY(INTEGER,3)"), ("profile", "STRUCT(age INTEGER, level INTEGER)")])
+    i = F.col("id")
+    courses = F.transform(F.sequence(F.lit(0).cast("long"), i % 3), lambda j: 1000 + (i + j) % 200)
+    con.insert("s", spark.range(1, 2001).select(i, courses.alias("course_ids"), F.array(60 + i % 40, 70 + i % 25, 80 + i % 15).alias("scores"), F.struct((18 + i % 10).alias("age"), (1 + i % 4).alias("level")).alias("profile")))
+    con.checkpoint("s")
+    s = con.db.connect().scan("s")
+    return s.select(F.col("id").cast("long").alias("id"), fn.array_to_string(F.col("course_ids"), "|").alias("courses"), fn.list_count(F.col("course_ids")).alias("n"), fn.element(F.col("scores"), 2).alias("second"), fn.struct_extract(F.col("profile"), "age").alias("age"))
+
+
 # ---- statistics ------------------------------------------------------------------------------------
 
 
