@@ -28,7 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -42,10 +42,12 @@ DECAY = 0.6
 LETTERS = 64
 SPAN = 24
 LANDMARKS = 160
-#: Labelled documents of each class that are learned from, at most.
-SAMPLE = 3000
+#: Labelled documents that are learned from, at most: clean and toxic ones.
+SAMPLE = (3000, 2000)
 #: Words in training: of toxic sentences, and of clean ones (before hard negatives).
 POSITIVES, NEGATIVES = 2000, 6000
+#: Letters of a witness, least and most.
+PIECES = (4, 8)
 #: What a variant with an inserted letter weighs.
 NOISE_WEIGHT = 0.3
 HARD_ROUNDS, HARD = 3, 1500
@@ -189,7 +191,7 @@ class Scorer:
         margins = self.spans(list({s for p in parts.values() for s in p}))
         self.known.update((w, max(margins[s] for s in p)) for w, p in parts.items())
 
-    def texts(self, texts: Iterable[str], together: int = 4 << 20) -> list[float]:
+    def texts(self, texts: Iterable[str], together: int = 1 << 20) -> list[float]:
         """The margin of each text: that of its worst unit. New words are scored for many texts at once."""
         out: list[float] = []
         held: list[list[str]] = []
@@ -204,10 +206,10 @@ class Scorer:
 
     def _worst(self, each: list[list[str]]) -> list[float]:
         known = self.known
-        missing = {w for u in each for w in u if w not in known}
+        missing = set(chain.from_iterable(each)).difference(known)
         if len(known) + len(missing) > self.size:
             known.clear()
-            missing = {w for u in each for w in u}
+            missing = set(chain.from_iterable(each))
         self.learn(missing)
         get = known.__getitem__
         return [max(map(get, u)) if u else self.model.offset for u in each]
@@ -236,7 +238,6 @@ def find_witnesses(toxic: list[set[str]], clean: list[set[str]], most: int = 300
     """
     toxic = without_copies(toxic)
     known = Counter(w for doc in clean for w in doc)
-    pieces = lambda w: {w[i : i + n] for n in range(4, 9) for i in range(len(w) - n + 1)}
     docs_of: dict[str, set[int]] = {}
     for d, doc in enumerate(toxic):
         for w in doc:
@@ -244,19 +245,27 @@ def find_witnesses(toxic: list[set[str]], clean: list[set[str]], most: int = 300
                 docs_of.setdefault(w, set()).add(d)
     share = (len(toxic) + 1) / (len(toxic) + len(clean) + 2)
     sure = max(3.0, math.log(1e6) / -math.log(share))
+    # level by level: a piece is frequent only if both pieces one letter shorter are
+    words_of: dict[str, list[str]] = {}
     counts: Counter[str] = Counter()
-    for w, d in docs_of.items():
-        counts.update(dict.fromkeys(pieces(w), len(d)))
-    words_of: dict[str, list[str]] = {p: [] for p, n in counts.items() if n >= sure}
+    shorter: set[str] | None = None
+    for n in range(PIECES[0], PIECES[1] + 1):
+        level: Counter[str] = Counter()
+        for w, d in docs_of.items():
+            for p in {w[i : i + n] for i in range(len(w) - n + 1)}:
+                if shorter is None or p[1:] in shorter and p[:-1] in shorter:
+                    level[p] += len(d)
+        shorter = {p for p, k in level.items() if k >= sure}
+        counts.update({p: level[p] for p in shorter})
+        words_of.update((p, []) for p in shorter)
+    pieces = lambda w: {p for n in range(PIECES[0], PIECES[1] + 1) for i in range(len(w) - n + 1) if (p := w[i : i + n]) in words_of}
     for w in docs_of:
         for p in pieces(w):
-            if p in words_of:
-                words_of[p].append(w)
+            words_of[p].append(w)
     against: Counter[str] = Counter()
     for w, n in known.items():
         for p in pieces(w):
-            if p in words_of:
-                against[p] += n
+            against[p] += n
     explained: set[str] = set()
     support = lambda p: len({d for w in words_of[p] if w not in explained for d in docs_of[w]})
     queue = [(-support(p), -len(p), p) for p in words_of if against[p] <= 0.01 * counts[p]]
@@ -324,7 +333,9 @@ def _spread(words: list[str], count: int, rng: np.random.Generator) -> list[str]
 
 def train(texts: list[str], labels: list[int]) -> Model | None:
     """A model from labelled documents; None unless both labels occur and toxic ones have witnesses."""
-    words = [{p for s in SENTENCE.split(t) for w in units(s) for p in spans(w) if len(p) >= ORDER} for t in texts]
+    shared: dict[str, str] = {}  # one object per word, however many documents hold it
+    words = [{shared.setdefault(p, p) for s in SENTENCE.split(t) for w in units(s) for p in spans(w) if len(p) >= ORDER} for t in texts]
+    del shared
     toxic, clean = ([w for w, y in zip(words, labels) if bool(y) == side] for side in (True, False))
     witnesses = find_witnesses(toxic, clean) if toxic and clean else {}
     if not witnesses:
@@ -369,14 +380,15 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
         taken.update(p for _, p in hard)
     # toxic documents without a labelled sentence say nothing about the margin that marks one
     told = [i for i, (own, y) in enumerate(zip(words, labels)) if not y or any(p in w for w in own for p in witnesses)]
-    slope, shift = _logistic(np.array(Scorer(model).texts(texts[i] for i in told)), np.array([int(bool(labels[i])) for i in told]))
+    margins, truth = np.array(Scorer(model).texts(texts[i] for i in told)), np.array([int(bool(labels[i])) for i in told])
+    slope, shift = _logistic(margins, truth)
     return Model(model.triple_ids, model.triple_weights, model.offset, slope, shift)
 
 
-def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model | None:
-    """Train on at most ``sample`` labelled documents of each class, never on the held-out third."""
+def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: tuple[int, int] = SAMPLE) -> Model | None:
+    """Train on at most so many labelled clean and toxic documents, never on the held-out third."""
     marked = labels.select("doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few = [common.labelled_sample(marked.where(F.col("toxic") == side), "toxic", sample) for side in (0, 1)]
+    few = [common.labelled_sample(marked.where(F.col("toxic") == side), "toxic", sample[side]) for side in (0, 1)]
     few = few[0].unionByName(few[1]).withColumnRenamed("doc_id", "__id")
     rows = docs.select("doc_id", common.text_or_empty(text_col).alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__id"))
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").select("r.text", "r.toxic").collect()
