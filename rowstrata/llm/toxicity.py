@@ -382,6 +382,10 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     told = [i for i, (own, y) in enumerate(zip(words, labels)) if not y or any(p in w for w in own for p in witnesses)]
     margins, truth = np.array(Scorer(model).texts(texts[i] for i in told)), np.array([int(bool(labels[i])) for i in told])
     slope, shift = _logistic(margins, truth)
+    # Where the classes lie apart the likelihood hardly cares where between them the threshold falls: it goes midway.
+    low, high = np.quantile(margins[truth == 0], 0.999), np.quantile(margins[truth == 1], 0.01)
+    if low < high:
+        shift = math.log(THRESHOLD / (1 - THRESHOLD)) - slope * float(low + high) / 2
     return Model(model.triple_ids, model.triple_weights, model.offset, slope, shift)
 
 
