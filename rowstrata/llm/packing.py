@@ -18,6 +18,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,10 @@ WINDOW = 4096
 END_ID = 2
 #: Tokens of the pieces that are packed together: about 2,000 windows.
 GROUP_TOKENS = 8 << 20
+#: And so many pieces at most, on average, where documents are tiny.
+GROUP_PIECES = 100_000
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 
 #: Latin letters that are alike in every normal form (no dotted capital I), then marks but the apostrophe.
@@ -111,10 +114,10 @@ class WordEncoder:
         for text in texts:
             # the vocabulary is of lower case; only the strings of special ids are not
             together.append((text if b"<|" in text else text.lower()).split())
-        missing = {w for words in together for w in words if w not in known}
+        missing = set(chain.from_iterable(together)).difference(known)
         if len(known) + len(missing) > self.size:
             known.clear()
-            missing = {w for words in together for w in words}
+            missing = set(chain.from_iterable(together))
         self.learn(missing)
         for words in together:
             yield b"".join(map(known.__getitem__, words))
@@ -220,8 +223,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, group_tokens: int = GROUP_TOKE
 
     A sequence id is the bin's number and the window's number in it.
     """
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, math.ceil(total / group_tokens))
+    total, count = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    groups = max(1, math.ceil(total / group_tokens), math.ceil(count / GROUP_PIECES))
     dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
     columns = [f"{c} {t}" for c, t in pieces.dtypes]
 
