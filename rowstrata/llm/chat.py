@@ -122,16 +122,20 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 _DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, examples long"
 
 
-def read_back(examples: DataFrame) -> DataFrame:
+def read_back(examples: DataFrame, arranged: bool = False) -> DataFrame:
     """One row per conversation, from its examples alone.
 
+    ``arranged``: each conversation's examples stand together and in order, as
+    ``format_conversations`` gives them, so they need no shuffle.
+
     Each reply is read under its own example's mask; the turns come from the
     last example, the only one that is parsed, as the others are its prefixes
     (a check). Examples are streamed in order, so one is in memory at a time.
     """
     kind = examples.schema["conv_id"].dataType.simpleString()
     n = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = examples.repartition(n, "conv_id").sortWithinPartitions("conv_id", "example").select("conv_id", "formatted", "loss_start", "loss_end")
+    rows = examples if arranged else examples.repartition(n, "conv_id").sortWithinPartitions("conv_id", "example")
+    rows = rows.select("conv_id", "formatted", "loss_start", "loss_end")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "examples"]
 
     def one(own: Iterable[tuple[str, int, int]]) -> tuple[int, str, int, str, int, int]:
@@ -182,7 +186,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the probe, formatted and read back."""
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
-    back = read_back(format_conversations(turns.unionByName(probe)))
+    back = read_back(format_conversations(turns.unionByName(probe)), arranged=True)
     return back.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
