@@ -235,7 +235,7 @@ def _(spark, d):
     return keys.select("n_nationkey", (10 + 5 * (F.row_number().over(Window.orderBy("n_nationkey")) - 1)).cast("long").alias("id"))
 
 
-_STUDENTS = "SELECT i AS id, 18 + i % 10 AS age, 50 + i % 50 AS score FROM range(1, 10001) t(i)"
+_STUDENTS = "SELECT i::INT AS id, (18 + i % 10)::INT AS age, (50 + i % 50)::INT AS score FROM range(1, 10001) t(i)"
 
 
 @query("students_scan", f"SELECT age, count(*) AS n, min(score) AS low, max(score) AS high FROM ({_STUDENTS}) WHERE id > 100 GROUP BY age")
@@ -251,7 +251,7 @@ def _(spark, d):
 
 @query(
     "students_nested",
-    "SELECT i AS id, array_to_string(list_transform(range(i % 3 + 1), lambda j: 1000 + (i + j) % 200), '|') AS courses, (i % 3 + 1) AS n, 70 + i % 25 AS second, 18 + i % 10 AS age FROM range(1, 2001) t(i)",
+    "SELECT i AS id, array_to_string(list_transform(range(i % 3 + 1), lambda j: 1000 + (i + j) % 200), '|') AS courses, (i % 3 + 1) AS n, (70 + i % 25)::INT AS second, (18 + i % 10)::INT AS age FROM range(1, 2001) t(i)",
 )
 def _(spark, d):
     """Lists, fixed arrays and structs through storage and a checkpoint."""
