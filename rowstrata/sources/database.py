@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import copy
 import json
+import os
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from contextlib import contextmanager, suppress
@@ -61,16 +62,25 @@ class Store:
         self._util = jvm.org.apache.hadoop.io.IOUtils
 
     def create(self, name: str, text: str) -> bool:
-        """Write a file that must not exist yet; False if it does."""
-        try:
-            out = self._fs.create(self._path(name), False)
-        except Exception as e:
-            if self._fs.exists(self._path(name)):
-                return False
-            raise e
+        """Publish a file whole, under a name that must not exist yet; False if it does.
+
+        The text goes to a file of its own first. A link (local disks) or a rename
+        (file systems whose rename never replaces a file, as HDFS's) then gives it
+        the name, so no reader sees a part of it and only one writer wins.
+        """
+        own = f"{name}.{uuid.uuid4().hex}.tmp"
+        out = self._fs.create(self._path(own), False)
         out.write(bytearray(text.encode()))
         out.close()
-        return True
+        try:
+            if self._fs.getUri().getScheme() != "file":
+                return not self._fs.exists(self._path(name)) and self._fs.rename(self._path(own), self._path(name))
+            os.link(*(self._path(p).toUri().getPath() for p in (own, name)))
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            self._fs.delete(self._path(own), False)
 
     def read(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
@@ -121,17 +131,21 @@ class Database:
 
     def publish(self, state: dict, after: int) -> bool:
         """Make ``state`` the next version; False if another commit came first."""
-        if self.latest()["version"] != after:
-            return False
-        taken = max((int(n.split(".")[0]) for n in self.store.list("_log") if n.endswith(".json")), default=-1)
-        state["version"] = max(after, taken) + 1
+        names = sorted(n for n in self.store.list("_log") if n.endswith(".json"))
+        for name in reversed(names):
+            if int(name.split(".")[0]) <= after:
+                break
+            with suppress(ValueError):  # a file that can't be read is no version, but its number is taken
+                json.loads(self.store.read(f"_log/{name}"))
+                return False
+        state["version"] = int(names[-1].split(".")[0]) + 1
         return self.store.create(f"_log/{state['version']:08d}.json", json.dumps(state))
 
     def vacuum(self) -> None:
         """Drop data folders that no manifest names (of rolled-back or crashed transactions), and old manifests."""
         now = self.latest()
         for name in self.store.list("_log"):
-            if int(name.split(".")[0]) < now["version"]:
+            if name.endswith(".json") and int(name.split(".")[0]) < now["version"]:
                 self.store.delete(f"_log/{name}")
         live = {e["dir"] for s in now["schemas"].values() for t in s.values() for e in [*t["data"], *t["deletes"]]}
         for name in self.store.list("data"):

@@ -242,6 +242,27 @@ def test_broken_manifest_is_passed_over(spark):
     assert _ids(con.db.connect()) == [1, 2, 3, 4, 5, 6]
 
 
+def test_concurrent_writers(spark):
+    """Four workers insert at once; the last rolls back."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    con = scratch_database(spark).connect()
+    con.create_table("w", [("worker_id", "INTEGER"), ("seq", "INTEGER")])
+
+    def work(worker):
+        own = con.db.connect()
+        own.begin()
+        for part in range(5):
+            own.insert("w", [(worker, part * 5 + k) for k in range(5)])
+        own.rollback() if worker == 3 else own.commit()
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(4)))
+    rows = con.scan("w", rowid=True).collect()
+    assert sorted((r["worker_id"], r["seq"]) for r in rows) == [(w, s) for w in range(3) for s in range(25)]
+    assert sorted(r["rowid"] for r in rows) == list(range(75))
+
+
 def test_catalog(spark):
     con = scratch_database(spark).connect()
     con.create_schema("sales")
