@@ -478,18 +478,26 @@ class Connection:
                 schema = T.StructType([T.StructField(c["name"], parse_type(c["type"]).spark()) for c in t["columns"]])
                 rows = self.spark.createDataFrame(list(rows), schema).coalesce(1)
             body = rows.select(*self._physical(t, rows))
-            counts = {r[0]: r[1] for r in body.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+            # Written once with their places, then numbered from the files: two runs of a plan may
+            # partition its rows differently, as adaptive execution goes by the bytes of each run.
+            staged = f"{self.db.root}/{self._folder()}"
+            body = body.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+            body.write.parquet(staged)
+            body = self.spark.read.schema(body.schema).parquet(staged)
+            counts = {r[0]: r[1] for r in body.groupBy("__part").count().collect()}
             total, starts = 0, []
             for p in range(max(counts, default=-1) + 1):
                 starts.append(total)
                 total += counts.get(p, 0)
             if not total:
+                self.db.store.delete(staged.removeprefix(f"{self.db.root}/"))
                 return 0
             folder = self._folder()
-            at = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.spark_partition_id() + 1)
+            at = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("__part") + 1)
             seq = self._seq(txn)
-            body = body.withColumn(ROWID, at + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + t["next_rowid"])
+            body = body.withColumn(ROWID, at + F.col("__place") + t["next_rowid"]).drop("__part", "__place")
             body.withColumn(SEQ, F.lit(seq).cast("long")).write.parquet(f"{self.db.root}/{folder}")
+            self.db.store.delete(staged.removeprefix(f"{self.db.root}/"))
             self._add(txn, key, t, {"dir": folder, "kind": "insert", "rows": total}, seq)
             t["next_rowid"] += total
             return total
