@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowstrata.llm import common, mixing, packing, rules, simhash, toxicity
+from rowstrata.llm import common, mixing, nearcopies, packing, rules, toxicity
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that of the smallest doc_id, once if its row repeats."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*_columns(docs))
+    """One row of each component of near copies: that of the smallest doc_id (null last), by the hash of the row among equal ids."""
+    row = docs.withColumns({"__near_row": F.xxhash64(*_columns(docs)), "__near_text": nearcopies.text_key()})
+    found = nearcopies.near_copies(docs).withColumnRenamed("node", "__near_node")
+    keys = row.select("doc_id", "__near_row", "__near_text").join(found, F.col("__near_text") == F.col("__near_node"), "left")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("__near_row").alias("row"))).alias("first")
+    kept = keys.groupBy(F.coalesce("root", "__near_text")).agg(first).select(F.col("first.row").alias("__near_kept"))
+    return row.join(kept, F.col("__near_row") == F.col("__near_kept"), "left_semi").dropDuplicates(["__near_row"]).select(*_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,165 @@
+"""Near copies by exact similarity: texts link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+All links are found, by prefix filtering: with the shingles of all texts in one
+order, two texts that link have a common shingle among the first n - ceil(0.8 n) + 1
+of each. The order is rarest first by the counts of a sample of texts, then by hash.
+It decides the cost only; any order finds all links.
+
+Texts with a common prefix shingle form a bucket; buckets of equal members count
+once. Each text is first compared with two leaders of its buckets. Only buckets
+whose texts are not in one component by then have their pairs across components
+compared, so a large group of near copies costs no pair each. A sketch
+of shingle counts bounds the difference of two sets from below and spares most
+pairs the exact comparison, none that links.
+
+Defined results: a null text is the empty text; texts without words link; a text
+of fewer than five words is one shingle; letters differ by ASCII case no more.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import common, simhash
+
+WIDTH = 5
+#: The least similarity that links, as a fraction.
+ALIKE = (4, 5)
+SEED = 43
+#: Texts whose shingles are counted for the order, about; the least count there that sets a shingle back; shingles set back at most.
+SAMPLE, OFTEN, MOST_OFTEN = 8_000, 3, 200_000
+#: Cells of a text's sketch, coarse and fine, powers of 2: how many of its shingles fall into each.
+CELLS, FINE = 64, 512
+_ODD = np.random.default_rng(9).integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The hashes of a text's shingles, signed, each once and in order."""
+    words = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(w, SEED) for w in words] or [0], np.uint64)
+    width = min(WIDTH, len(hashes))
+    mixed = np.zeros(len(hashes) - width + 1, np.uint64)
+    for i in range(width):
+        mixed += hashes[i : i + len(mixed)] * _ODD[i]
+    mixed ^= mixed >> np.uint64(32)
+    return np.unique((mixed * _ODD[0]).view(np.int64))
+
+
+def prefix(hashes: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a text, so many that each text it links with has one of them in its own."""
+    n = len(hashes)
+    keep = n + (-ALIKE[0] * n) // ALIKE[1] + 1
+    if not len(often):
+        return hashes[:keep]
+    at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+    rank = np.where(often[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))[:keep]]
+
+
+def _fine_column(tokens: Column) -> Column:
+    @F.pandas_udf("binary")
+    def run(sets: pd.Series) -> pd.Series:
+        return pd.Series([sketch(np.asarray(t, np.int64), FINE) for t in sets], dtype=object)
+
+    return run(tokens)
+
+
+def shingle_column(text: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t or b"") for t in texts], dtype=object)
+
+    return run(text.cast("binary"))
+
+
+def sketch(hashes: np.ndarray, cells: int = CELLS) -> bytes:
+    cell = (hashes.view(np.uint64) >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def _prefix_column(text: Column, often: np.ndarray, counts: np.ndarray) -> Column:
+    @F.pandas_udf("struct<size: int, sketch: binary, prefix: array<long>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t or b"") for t in texts]
+        return pd.DataFrame({"size": [len(s) for s in sets], "sketch": [sketch(s) for s in sets], "prefix": pd.Series([prefix(s, often, counts) for s in sets], dtype=object)})
+
+    return run(text.cast("binary"))
+
+
+def _possible(*columns: str, width: int = CELLS) -> Column:
+    """Whether sets of these two sizes and two sketches can link: they differ by as much as their sketches, at least."""
+
+    @F.pandas_udf("boolean")
+    def run(size: pd.Series, other: pd.Series, cells: pd.Series, others: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, width).astype(np.int16) for c in (cells, others))
+        apart, both = np.abs(x - y).sum(axis=1, dtype=np.int64), (size + other).to_numpy(np.int64)
+        return pd.Series(ALIKE[1] * (both - apart) >= ALIKE[0] * (both + apart))
+
+    return run(*columns)
+
+
+def _often(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample hold, sorted, and in how many."""
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(every)) == 0).select("node", "text").dropDuplicates(["node"])
+    counts = some.select(F.explode(shingle_column(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    rows = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(MOST_OFTEN).toPandas().sort_values("token")
+    return rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether sizes allow a link."""
+    return ALIKE[1] * F.least(x, y) >= ALIKE[0] * F.greatest(x, y)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, stored."""
+    sketches = [nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
+    pairs = pairs.join(sketches[0], "a").join(sketches[1], "b").where(_alike("na", "nb")).where(_possible("na", "nb", "sa", "sb"))
+    pairs = common.store(pairs.select("a", "b"), "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("named")).distinct()
+    sets = texts.join(named, F.col("node") == F.col("named"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = common.store(sets.select("node", shingle_column(F.col("text")).alias("tokens")), "shingles")
+    fine = common.store(sets.select("node", F.size("tokens").alias("size"), _fine_column(F.col("tokens")).alias("sketch")), "sketches")
+    sketches = [fine.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
+    pairs = pairs.join(sketches[0], "a").join(sketches[1], "b").where(_possible("na", "nb", "sa", "sb", width=FINE))
+    pairs = common.store(pairs.select("a", "b"), "pairs")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    shared, all_ = F.size(F.array_intersect("ta", "tb")), F.size("ta") + F.size("tb")
+    return common.store(both.where(ALIKE[1] * shared >= ALIKE[0] * (all_ - shared)).select("a", "b"), "links")
+
+
+def text_key(text_col: str = "text") -> Column:
+    return F.xxhash64(common.text_or_empty(text_col))
+
+
+def near_copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(node, root) of each text key that has links, by which the texts of a component have one root."""
+    texts = docs.select(text_key(text_col).alias("node"), common.text_or_empty(text_col).alias("text"))
+    often, counts = _often(texts)
+    slim = texts.select("node", _prefix_column(F.col("text"), often, counts).alias("p")).select("node", "p.*")
+    nodes = common.store(slim.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "prefix")]), "prefixes")
+    postings = nodes.select("node", "size", F.explode("prefix").alias("token"))
+    held = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select(F.col("token").alias("held"))
+    postings = common.store(postings.join(held, F.col("token") == F.col("held"), "left_semi"), "postings")
+    own = F.col("node").bitwiseXOR(F.col("token"))
+    buckets = postings.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), F.min(own).alias("least"))
+    buckets = buckets.select("n", "x", "y", "token", F.col("least").bitwiseXOR(F.col("token")).alias("leader"))
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("token", "leader")).alias("one")).select("one.token", "one.leader")
+    live = common.store(postings.join(buckets, "token"), "buckets")
+    led = live.groupBy("node").agg(F.min("leader").alias("l1"), F.max("leader").alias("l2")).select("node", F.explode(F.array("l1", "l2")).alias("leader"))
+    led = led.where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+    stars = _verified(led, nodes, texts)
+    grouped = live.join(simhash.components(stars).withColumnRenamed("node", "in"), F.col("node") == F.col("in"), "left")
+    grouped = common.store(grouped.select("token", "node", "size", F.coalesce("root", "node").alias("group")), "groups")
+    mixed = grouped.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
+    left = grouped.join(mixed, "token")
+    right = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "group")])
+    on = (left["token"] == right["token"]) & (F.col("group") < F.col("group2")) & _alike("size", "size2")
+    across = left.join(right, on).select(F.greatest("node", "node2").alias("a"), F.least("node", "node2").alias("b")).distinct()
+    return simhash.components(stars.union(_verified(across, nodes, texts)))
