@@ -13,6 +13,10 @@ Nyström features of the words of these sentences, with hard negatives from clea
 ones. As it is linear in the landmarks' kernels, it folds into one weight per
 letter triple, so scoring costs no kernel per landmark.
 
+The kernel can't tell a rare long word from its clean relatives. Whole words of any
+length that toxic documents have and clean ones don't are therefore learned beside
+the pieces (``find_words``), and a word that is one of them scores ``WORD_SCORE`` at least.
+
 Defined results: a null or empty text scores like a word without letters; words
 longer than ``SPAN`` are scored in overlapping windows, whole texts always; repeated
 rows score alike; labels that are null are not learned from; without labels of
@@ -48,6 +52,8 @@ SAMPLE = (3000, 2000)
 POSITIVES, NEGATIVES = 2000, 6000
 #: Letters of a witness, least and most.
 PIECES = (4, 8)
+#: Score of a whole word learned as such, at least, and the share of such words that chance may account for.
+WORD_SCORE, BY_CHANCE = 0.9, 0.01
 #: What a variant with an inserted letter weighs.
 NOISE_WEIGHT = 0.3
 HARD_ROUNDS, HARD = 3, 1500
@@ -159,6 +165,7 @@ class Model:
     offset: float
     slope: float
     shift: float
+    words: frozenset[str] = frozenset()
 
     def table(self) -> np.ndarray:
         out = np.zeros(LETTERS**ORDER, np.float64)
@@ -174,6 +181,7 @@ class Scorer:
 
     def __init__(self, model: Model, size: int = CACHE_WORDS):
         self.model, self.table, self.size, self.known = model, model.table(), size, {}
+        self.told = (math.log(WORD_SCORE / (1 - WORD_SCORE)) - model.shift) / model.slope
 
     def spans(self, words: list[str]) -> dict[str, float]:
         out = dict.fromkeys(words, self.model.offset)
@@ -189,6 +197,8 @@ class Scorer:
     def learn(self, words: Iterable[str]) -> None:
         parts = {w: spans(w) for w in words}
         margins = self.spans(list({s for p in parts.values() for s in p}))
+        for s in self.model.words.intersection(margins):
+            margins[s] = max(margins[s], self.told)
         self.known.update((w, max(margins[s] for s in p)) for w, p in parts.items())
 
     def texts(self, texts: Iterable[str], together: int = 1 << 20) -> list[float]:
@@ -284,6 +294,32 @@ def find_witnesses(toxic: list[set[str]], clean: list[set[str]], most: int = 300
     return chosen
 
 
+def word_support(toxic: Counter[str], clean: Counter[str], share: float) -> int:
+    """The fewest toxic documents (3 or more) that make a word of no clean document a witness.
+
+    It follows from the words and not from the class ratio alone: of the words in so many
+    toxic documents or more and in no clean one, chance explains ``BY_CHANCE`` at most.
+    """
+    occurring = Counter((toxic + clean).values())
+    found = Counter(n for w, n in toxic.items() if w not in clean)
+    top = max(occurring, default=0)
+    least, chance, held = top + 1, 0.0, 0
+    for n in range(top, 2, -1):
+        chance += occurring[n] * share**n
+        held += found[n]
+        if held and chance <= BY_CHANCE * held:
+            least = n
+    return least
+
+
+def find_words(toxic: list[set[str]], clean: list[set[str]], pieces: Iterable[str] = ()) -> list[str]:
+    """Whole words that are witnesses and hold none of the pieces."""
+    toxic, pieces = without_copies(toxic), list(pieces)
+    told, known = (Counter(w for doc in docs for w in doc) for docs in (toxic, clean))
+    enough = word_support(told, known, (len(toxic) + 1) / (len(toxic) + len(clean) + 2))
+    return sorted(w for w, n in told.items() if n >= enough and w not in known and not any(p in w for p in pieces))
+
+
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST, epochs: int = EPOCHS) -> np.ndarray:
     """Linear support vector machine (weighted hinge loss) by dual coordinate descent."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -338,6 +374,8 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     del shared
     toxic, clean = ([w for w, y in zip(words, labels) if bool(y) == side] for side in (True, False))
     witnesses = find_witnesses(toxic, clean) if toxic and clean else {}
+    whole = find_words(toxic, clean, witnesses) if toxic and clean else []
+    witnesses = witnesses or {w: [w] for w in whole}
     if not witnesses:
         return None
     rng = np.random.default_rng(11)
@@ -386,7 +424,7 @@ def train(texts: list[str], labels: list[int]) -> Model | None:
     low, high = np.quantile(margins[truth == 0], 0.999), np.quantile(margins[truth == 1], 0.01)
     if low < high:
         shift = math.log(THRESHOLD / (1 - THRESHOLD)) - slope * float(low + high) / 2
-    return Model(model.triple_ids, model.triple_weights, model.offset, slope, shift)
+    return Model(model.triple_ids, model.triple_weights, model.offset, slope, shift, frozenset(whole))
 
 
 def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: tuple[int, int] = SAMPLE) -> Model | None:
