@@ -126,3 +126,18 @@ def labelled_sample(labels: DataFrame, column: str, limit: int, held_out_remaind
         rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != held_out_remainder)
     rows = rows.groupBy("doc_id").agg(F.min(column).alias(column))
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+def bounded_texts(rows: DataFrame, chars: int) -> tuple[list[str], list[int]]:
+    """The texts and labels of (text, label) rows in their order, until so many characters are held.
+
+    Rows come partition by partition, so the driver never holds more than the bound and one partition.
+    """
+    texts, labels, held = [], [], 0
+    for text, label in rows.toLocalIterator():
+        held += len(text)
+        if texts and held > chars:
+            break
+        texts.append(text)
+        labels.append(int(label))
+    return texts, labels
