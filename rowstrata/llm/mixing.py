@@ -79,18 +79,23 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, budget:
     return per.select("source", "source_size", "rank", target.alias("target"))
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", partial: bool = True, schedules=SCHEDULES, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
-    """One row per document: size, source_size, target, take1, take2, position1, position2.
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", partial: bool = True, schedules=SCHEDULES, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, passes: float = MOST_PASSES, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per document: size, source_size, target, and take and position of each of the ``passes``.
+
+    ``keep`` names columns that are carried along.
 
     A source's documents are laid end to end in hash order, pass after pass,
     until its target is spent. ``partial`` cuts the document at the end of the
     demand to the words still wanted; otherwise it is taken whole if more than
     half of it is wanted.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), common.word_count(F.col(text_col)).alias("size"))
+    if passes != int(passes) or passes < 1:
+        raise ValueError("a document is taken a whole number of times")
+    carried = [F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)]
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), common.word_count(F.col(text_col)).alias("size"), *carried)
     sized = common.store(sized.withColumn("key", common.md5_key(F.col("doc_id").cast("string"))), "mix-sized")
-    laid = common.bucketed_prefix(sized, ["source"], "key", ["doc_id", "size"], "size", "lead", "mix")
-    per = source_targets(sized, weights, budget)
+    laid = common.bucketed_prefix(sized, ["source"], "key", ["doc_id", "size", *(f"__keep{i}" for i in range(len(keep)))], "size", "lead", "mix")
+    per = source_targets(sized, weights, budget, passes)
     rows = laid.alias("d").join(per.withColumnRenamed("source", "s"), F.col("d.source").eqNullSafe(F.col("s"))).drop("s")
     demand = F.round("target").cast("long")
 
@@ -106,23 +111,31 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
             by = F.when(F.col("rank") % len(schedules) == i, inverse(share, knots)).otherwise(by)
         return F.when(took > 0, by)
 
-    again = F.col("lead") + F.col("source_size")
-    rows = rows.withColumn("take1", take(F.col("lead"))).withColumn("take2", take(again))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "take1", "take2", position(F.col("lead"), F.col("take1")).alias("position1"), position(again, F.col("take2")).alias("position2"))
+    starts = {k: F.col("lead") + (k - 1) * F.col("source_size") for k in range(1, int(passes) + 1)}
+    rows = rows.withColumns({f"take{k}": take(start) for k, start in starts.items()})
+    places = [position(start, F.col(f"take{k}")).alias(f"position{k}") for k, start in starts.items()]
+    return rows.select("doc_id", "source", "size", "source_size", "target", *(f"take{k}" for k in starts), *places, *(F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)))
+
+
+def copies(assigned: DataFrame, columns: Sequence[str] = ("doc_id", "source"), passes: int = int(MOST_PASSES)) -> DataFrame:
+    """(columns, copy, words, position) of the copies that ``assign`` takes."""
+    each = F.array(*(F.struct(F.lit(k).alias("copy"), F.col(f"take{k}").alias("words"), F.col(f"position{k}").alias("position")) for k in range(1, passes + 1)))
+    return assigned.select(*columns, F.explode(each).alias("__c")).select(*columns, "__c.*").where("words > 0")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, copy, words, position): the copies to train on, range-sorted by position."""
-    rows = assign(docs, **options)
-    copies = rows.select("doc_id", "source", F.explode(F.array(*(F.struct(F.lit(k).alias("copy"), F.col(f"take{k}").alias("words"), F.col(f"position{k}").alias("position")) for k in (1, 2)))).alias("c")).select("doc_id", "source", "c.*")
-    return copies.where("words > 0").orderBy("position", "doc_id", "copy")
+    return copies(assign(docs, **options), passes=int(options.get("passes", MOST_PASSES))).orderBy("position", "doc_id", "copy")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of all documents, one row each, range-sorted by first training position."""
+    """The mix of all documents, one row each, range-sorted by first training position.
+
+    position1 and position2 are the training times (0 to 1) of its first and second copy, null for one that isn't taken.
+    """
     rows = assign(common.table(spark, sf_dir, "documents"))
     rows = rows.withColumn("taken", F.col("take1") + F.col("take2")).orderBy(F.col("position1").asc_nulls_last(), "doc_id")
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", *(F.round(f"position{k}", 9).alias(f"position{k}") for k in (1, 2)))
 
 
 _SIZED = r"""
@@ -131,6 +144,19 @@ sized AS (
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
   FROM documents)"""
 
+def _inverse_sql(share: str) -> str:
+    """The schedules' inverse as SQL, piece by piece."""
+    out = []
+    for i, knots in enumerate(SCHEDULES):
+        spent, pieces = areas(knots), []
+        for (t0, w0), (t1, w1), a0, a1 in zip(knots, knots[1:], spent, spent[1:]):
+            rest = f"({share} * {spent[-1]!r}::DOUBLE - {a0!r}::DOUBLE)"
+            x = f"2 * {rest} / ({w0!r}::DOUBLE + sqrt(greatest({w0 * w0!r}::DOUBLE + 2 * {(w1 - w0) / (t1 - t0)!r}::DOUBLE * {rest}, 0)))"
+            pieces.append(f"WHEN {share} * {spent[-1]!r}::DOUBLE <= {a1!r}::DOUBLE THEN least({t1!r}::DOUBLE, {t0!r}::DOUBLE + {x})")
+        out.append(f"WHEN {i} THEN CASE {' '.join(pieces)} ELSE {float(knots[-1][0])!r}::DOUBLE END")
+    return f"CASE rank % {len(SCHEDULES)} {' '.join(out)} END"
+
+
 OP2_SQL = (
     "WITH"
     + _SIZED
@@ -143,11 +169,14 @@ levelled AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 water AS (SELECT level FROM levelled WHERE level <= cap / w ORDER BY cap / w, rank LIMIT 1),
-targets AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM water) * w, cap)) AS target FROM levelled),
+targets AS (SELECT source, source_size, rank, least(cap, coalesce((SELECT level FROM water) * w, cap)) AS target FROM levelled),
 laid AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lead FROM sized)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, round(target)::BIGINT - lead)) + greatest(0, least(size, round(target)::BIGINT - lead - source_size)))::BIGINT AS taken
-FROM laid JOIN targets ON laid.source IS NOT DISTINCT FROM targets.source
+SELECT doc_id, size, source_size, target, (take1 + take2)::BIGINT AS taken,
+       """
+    + ",\n       ".join(f"CASE WHEN take{k} > 0 THEN round({_inverse_sql(f'least(1.0, (lead + {k - 1} * source_size + take{k} / 2.0) / target)')}, 9) END AS position{k}" for k in (1, 2))
+    + """
+FROM (SELECT *, greatest(0, least(size, round(target)::BIGINT - lead))::BIGINT AS take1, greatest(0, least(size, round(target)::BIGINT - lead - source_size))::BIGINT AS take2
+      FROM (SELECT laid.*, source_size, target, rank FROM laid JOIN targets ON laid.source IS NOT DISTINCT FROM targets.source))
 """
 )

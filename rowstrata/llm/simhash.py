@@ -7,21 +7,29 @@ with numpy exclusive-or and bit counts, and a pair of tiles is skipped when the
 population counts in them differ by more than the radius.
 
 So that tiles of fingerprints that can't link never meet, rows are first dealt
-by pigeonhole: of four 16-bit blocks two must agree within radius 2, so each
-fingerprint is filed under its six block pairs and tiles are cut from rows with
-a common pair. Files of more than ``BUCKET_ROWS`` fingerprints are dealt again by
+by pigeonhole: of radius + 2 blocks of bits two must agree, so each fingerprint is
+filed under all pairs of its blocks and tiles are cut from rows with a common pair.
+Files of more than ``BUCKET_ROWS`` fingerprints are dealt again by
 blocks of the bits left, exactly. A task keeps a spanning forest of the links that
 it finds, never all pairs; components are then found by star contraction.
 
+``near_copies`` links texts at a Jaccard similarity of 0.8 or more of their five-word
+shingles. No radius alone can tell those, so its tiles propose pairs within the wide radius
+``NEAR_RADIUS`` and an exact check of the shingle sets decides. Its rows are dealt by
+prefix filtering, which such texts can't escape: with all shingles in one order, they share
+one of the first n - ceil(0.8 n) + 1 of each. The order is rarest first, by counts
+over all texts that are kept in ``CELLS`` cells, then by hash; it decides the cost only.
+
 Defined results: a null text is the empty text; texts without words have the
 fingerprint zero and link like any other; rows that share a doc_id or a text
 share fingerprints; a null doc_id never names a component (null if a class has
-no other); extra columns are ignored; an empty table gives no rows.
+no other), yet its text links others; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,8 +44,6 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 2
 BITS = 64
-#: Block pairs: with 2 differing bits, 2 of 4 blocks are equal at least.
-BLOCKS = 4
 TILE = 256
 #: Rows of small files that are compared together.
 CHUNK = 1024
@@ -45,14 +51,18 @@ BUCKET_ROWS = 8192
 _HASH_CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """The fingerprint of a text, unsigned. bytes.lower and bytes.split know ASCII only, as wanted."""
+def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
+    """The XXH64 of each shingle of a text, repeats included. bytes.lower and bytes.split know ASCII only, as wanted."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], np.uint64)
+    return np.array([digest(s, SEED) for s in shingles], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingles, unsigned."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _HASH_CHUNK):
         part = hashes[at : at + _HASH_CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -60,6 +70,10 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprint_column(text: Column, width: int = SHINGLE) -> Column:
     """Fingerprints as signed longs."""
 
@@ -70,17 +84,15 @@ def fingerprint_column(text: Column, width: int = SHINGLE) -> Column:
     return run(text.cast("binary"))
 
 
-def _pairs() -> list[tuple[int, int]]:
-    return [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
-
-
-def _block(i: int) -> Column:
-    width = BITS // BLOCKS
-    return F.shiftrightunsigned(F.col("fp"), i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+def _blocks(bits: list[int], count: int) -> list[list[int]]:
+    """The bits in so many runs of about one length."""
+    return [bits[i * len(bits) // count : (i + 1) * len(bits) // count] for i in range(count)]
 
 
-def _byte(i: int) -> Column:
-    return F.shiftrightunsigned(F.col("fp"), 8 * i).bitwiseAND(F.lit(255).cast("long"))
+def _part(*blocks: list[int]) -> Column:
+    """The fingerprint with all other bits cleared."""
+    mask = sum(1 << i for b in blocks for i in b)
+    return F.col("fp").bitwiseAND(F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask).cast("long"))
 
 
 class Forest:
@@ -172,20 +184,22 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 def link_edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b), a > b: edges between the representatives of linked fingerprints, connected as the links are.
 
-    ``nodes`` has distinct (fp, rep) rows and is stored.
+    ``nodes`` has distinct (fp, rep) rows and is stored. Any radius is exact; the wider it is,
+    the fewer bits have the blocks and the more rows meet.
     """
-    if radius > RADIUS:
-        raise ValueError("two equal blocks of four are sure within radius 2 only")
-    pairs = list(enumerate(_pairs()))
-    file = F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), F.xxhash64(F.lit(k), _block(i), _block(j)).alias("file")) for k, (i, j) in pairs)))
+    if not 0 <= radius <= BITS // 2 - 2:
+        raise ValueError(f"no blocks for a radius of {radius}")
+    blocks = _blocks(list(range(BITS)), radius + 2)
+    pairs = [(k, x, y) for k, (x, y) in enumerate(combinations(blocks, 2))]
+    file = F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), F.xxhash64(F.lit(k), _part(x, y)).alias("file")) for k, x, y in pairs)))
     filed = nodes.select(file.alias("f"), "fp", "rep").select("f.pair", "f.file", "fp", "rep")
     large = filed.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS).select(F.col("file").alias("large"))
     rest = filed.join(large, F.col("file") == F.col("large"), "left")
-    # A large file is dealt again: of the four bytes outside its equal blocks two are equal too.
+    # A large file is dealt again: of as many blocks of the bits outside its equal ones two are equal too.
     again = F.array("file")
-    for k, (i, j) in pairs:
-        free = [b for b in range(2 * BLOCKS) if b // 2 not in (i, j)]
-        again = F.when(F.col("pair") == k, F.array(*(F.xxhash64("file", F.lit(a), F.lit(b), _byte(a), _byte(b)) for a in free for b in free if a < b))).otherwise(again)
+    for k, x, y in pairs:
+        free = _blocks([i for i in range(BITS) if i not in x and i not in y], radius + 2)
+        again = F.when(F.col("pair") == k, F.array(*(F.xxhash64("file", F.lit(n), _part(*own)) for n, own in enumerate(combinations(free, 2))))).otherwise(again)
     keys = F.when(F.col("large").isNull(), F.array("file")).otherwise(again)
     dealt = rest.select(F.explode(keys).alias("file"), "fp", "rep")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -217,15 +231,242 @@ def components(edges: DataFrame, label: str = "star") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): one row per row of ``docs``."""
+    """(doc_id, fp, component_id): one row per row of ``docs``.
+
+    Fingerprints link by themselves, whatever ids their rows have, so rows without an id
+    connect like others; a component is named by the smallest id in it.
+    """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_column(common.text_or_empty(text_col), width).alias("fp"))
     slim = common.store(slim, "fingerprints")
-    nodes = common.store(slim.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = components(link_edges(nodes.where("rep is not null"), radius))
-    classes = nodes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "rep").alias("component_id"))
+    nodes = common.store(slim.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(link_edges(nodes.select("fp", F.col("fp").alias("rep")), radius))
+    classes = nodes.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("root", "fp").alias("class"), "least")
+    names = classes.groupBy("class").agg(F.min("least").alias("component_id")).withColumnRenamed("class", "named")
+    classes = classes.join(names, F.col("class") == F.col("named")).select("class_fp", "component_id")
     return slim.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
 
 
+# ---- near copies: tiles propose, shingle sets decide
+
+NEAR_WIDTH = 5
+#: The least Jaccard similarity that links, as a fraction.
+ALIKE = (4, 5)
+#: Texts of that similarity differ in 10 of 64 bits on average; in more than so many, one in ten thousand does.
+NEAR_RADIUS = 20
+#: Cells in which shingles are counted, a power of 2: the only thing the driver gets, of one size for any input.
+CELLS = 1 << 16
+#: Rows of a file too large for all pairs that the others are compared with at first.
+PIVOTS = 64
+
+
+def shingle_set(text: bytes, width: int = NEAR_WIDTH) -> np.ndarray:
+    """The different shingles of a text by their signed hashes; a text without words has one, 0."""
+    hashes = shingle_hashes(text, width)
+    return np.unique(hashes.view(np.int64)) if len(hashes) else np.zeros(1, np.int64)
+
+
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.view(np.uint64) >> np.uint64(65 - CELLS.bit_length())).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame, width: int = NEAR_WIDTH) -> np.ndarray:
+    """How many shingles of the texts (a column ``text``) fall into each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = np.zeros(CELLS, np.int64), [], 0
+        for batch in batches:
+            for t in batch.column(0):
+                held.append(_cell(shingle_set(t.as_py() or b"", width)))
+                size += len(held[-1])
+                if size > 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=CELLS)
+        live = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), pa.array(total[live], pa.int64())], names=["cell", "n"])
+
+    out = np.zeros(CELLS, np.int64)
+    for cell, n in texts.select(F.col("text").cast("binary")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        out[cell] = n
+    return out
+
+
+def prefix(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, so many that each set it links with has one of them in its own."""
+    keep = len(tokens) + (-ALIKE[0] * len(tokens)) // ALIKE[1] + 1
+    return tokens[np.lexsort((tokens, counts[_cell(tokens)]))[:keep]]
+
+
+def _print_column(text: Column, counts: np.ndarray, width: int) -> Column:
+    @F.pandas_udf("struct<fp: long, prefix: array<long>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        hashes = [shingle_hashes(t or b"", width) for t in texts]
+        sets = [np.unique(h.view(np.int64)) if len(h) else np.zeros(1, np.int64) for h in hashes]
+        prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+        return pd.DataFrame({"fp": prints, "prefix": pd.Series([prefix(s, counts) for s in sets], dtype=object)})
+
+    return run(text.cast("binary"))
+
+
+def _set_column(text: Column, width: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t or b"", width) for t in texts], dtype=object)
+
+    return run(text.cast("binary"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, cut where the column ``key`` changes: about a chunk of rows, or one longer run."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        held = new if held is None else [np.concatenate(two) for two in zip(held, new)]
+        if not len(held[key]):
+            continue
+        ends = np.flatnonzero(held[key][1:] != held[key][:-1]) + 1  # of all runs but the last, which may go on
+        at = 0
+        while at < (ends[-1] if len(ends) else 0):
+            last = min(int(np.searchsorted(ends, at + CHUNK)), len(ends) - 1)
+            if last and at < ends[last - 1] and ends[last] - ends[last - 1] > BUCKET_ROWS:
+                last -= 1  # a long run stands alone
+            stop = int(ends[last])
+            yield [c[at:stop] for c in held]
+            at = stop
+        held = [c[at:] for c in held]
+    if held is not None and len(held[key]):
+        yield held
+
+
+def _leaders(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """The sorted (token, node, fp) rows that have a neighbour within the radius under their token, and the smallest one.
+
+    A file of more than ``BUCKET_ROWS`` rows is compared with its smallest nodes alone, and stays whole.
+    """
+    for token, node, fp in _runs(batches):
+        alike = token[1:] == token[:-1]
+        some = np.flatnonzero(np.r_[False, alike] | np.r_[alike, False])
+        if not len(some):
+            continue
+        token, node, fp = token[some], node[some], fp[some]
+        leader, live = node.copy(), np.zeros(len(node), bool)
+        if len(node) > BUCKET_ROWS and token[0] == token[-1]:
+            live[:] = True
+            for i in np.argsort(node, kind="stable")[:PIVOTS][::-1]:
+                near = np.bitwise_count(fp.view(np.uint64) ^ fp[i : i + 1].view(np.uint64)) <= radius
+                leader[near] = np.minimum(leader[near], node[i])
+        else:
+            for x, y in tile_links(fp.view(np.uint64), radius):
+                own = token[x] == token[y]
+                x, y = x[own], y[own]
+                live[x] = live[y] = True
+                np.minimum.at(leader, x, node[y])
+                np.minimum.at(leader, y, node[x])
+        if live.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[live]) for c in (token, node, fp, leader)], names=["token", "node", "fp", "leader"])
+
+
+def _across(batches: Iterator[pa.RecordBatch], radius: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), a > b, of the sorted (token, node, fp, group) rows: under one token, in two groups, within the radius.
+
+    ``nearest``: of each row, only the pair with the fewest differing bits.
+    """
+
+    def tiles(group: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if len(fp) <= BUCKET_ROWS:
+            yield from tile_links(fp.view(np.uint64), radius)
+            return
+        # the rows of the largest group need no comparison with each other
+        names, sizes = np.unique(group, return_counts=True)
+        most = np.flatnonzero(group == names[sizes.argmax()])
+        rest = np.flatnonzero(group != names[sizes.argmax()])
+        for x, y in tile_links(fp[rest].view(np.uint64), radius):
+            yield rest[x], rest[y]
+        bits = fp.view(np.uint64)
+        for i in range(0, len(rest), TILE):
+            for j in range(0, len(most), TILE * TILE):
+                a, b = rest[i : i + TILE], most[j : j + TILE * TILE]
+                x, y = np.nonzero(np.bitwise_count(bits[a][:, None] ^ bits[b][None, :]) <= radius)
+                yield a[x], b[y]
+
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    for token, node, fp, group in _runs(batches):
+        bits, best, partner = fp.view(np.uint64), np.full(len(fp), BITS + 1), np.zeros(len(fp), np.int64)
+        for x, y in tiles(group, fp):
+            own = (token[x] == token[y]) & (group[x] != group[y])
+            x, y = x[own], y[own]
+            if not len(x):
+                continue
+            if not nearest:
+                yield out(node[x], node[y])
+                continue
+            apart = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
+            order = np.argsort(-apart, kind="stable")  # the nearest is written last
+            for here, there in ((x[order], y[order]), (y[order], x[order])):
+                far = apart[order]
+                closer = far < best[here]
+                partner[here[closer]] = node[there[closer]]
+                best[here[closer]] = far[closer]
+        found = np.flatnonzero(best <= BITS)
+        if len(found):
+            yield out(node[found], partner[found])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, stored."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    x, y, shared = F.size("ta"), F.size("tb"), F.size(F.array_intersect("ta", "tb"))
+    sizes = ALIKE[1] * F.least(x, y) >= ALIKE[0] * F.greatest(x, y)
+    return common.store(both.where(sizes).where(ALIKE[1] * shared >= ALIKE[0] * (x + y - shared)).select("a", "b"), "links")
+
+
+def text_key(text_col: str = "text") -> Column:
+    return F.xxhash64(common.text_or_empty(text_col))
+
+
+def near_copies(docs: DataFrame, text_col: str = "text", width: int = NEAR_WIDTH, radius: int = NEAR_RADIUS) -> DataFrame:
+    """(node, root) of each text key that has links, by which the texts of a component have one root.
+
+    Equal texts are one node. Rows are compared under every common prefix shingle, in three rounds: with
+    the smallest neighbour, then the nearest one of another group, then all those of other
+    components. Pairs within what is connected by then are spared, so a large group of near copies costs
+    no pair each, and no link between components is left out.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(text_key(text_col).alias("node"), common.text_or_empty(text_col).alias("text"))
+    slim = texts.select("node", _print_column(F.col("text"), shingle_counts(texts, width), width).alias("p"))
+    nodes = slim.groupBy("node").agg(F.first("p").alias("p"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    filed = nodes.select(F.explode("p.prefix").alias("token"), "node", F.col("p.fp").alias("fp"))
+    filed = filed.repartition(n, "token").sortWithinPartitions("token", "node")
+    live = common.store(filed.mapInArrow(lambda batches: _leaders(batches, radius), "token long, node long, fp long, leader long"), "candidates")
+    named = live.select(F.col("node").alias("named")).distinct()
+    sets = texts.join(named, F.col("node") == F.col("named"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = common.store(sets.select("node", _set_column(F.col("text"), width).alias("tokens")), "shingles")
+
+    def proposed(groups: DataFrame, nearest: bool) -> DataFrame:
+        rows = live.select("token", "node", "fp").join(groups.select(F.col("node").alias("in"), "root"), F.col("node") == F.col("in"), "left")
+        rows = rows.select("token", "node", "fp", F.coalesce("root", "node").alias("group"))
+        mixed = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select(F.col("token").alias("mixed"))
+        rows = rows.join(mixed, F.col("token") == F.col("mixed"), "left_semi").repartition(n, "token").sortWithinPartitions("token", "node")
+        return rows.mapInArrow(lambda batches: _across(batches, radius, nearest), "a long, b long").distinct()
+
+    first = common.store(live.where("leader < node").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    links = _verified(first, sets)
+    # as a group each text has its smallest leader's own
+    led = links.groupBy("a").agg(F.min("b").alias("b"))
+    above = led.select(F.col("a").alias("up"), F.col("b").alias("top"))
+    groups = led.join(above, F.col("b") == F.col("up"), "left").select(F.col("a").alias("node"), F.coalesce("top", "b").alias("root"))
+    second = common.store(proposed(groups, True).join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(_verified(second, sets))
+    third = proposed(components(links), False).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+    return components(links.unionByName(_verified(third, sets)))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their fingerprint and component."""
     found = near_duplicates(common.table(spark, sf_dir, "documents"))

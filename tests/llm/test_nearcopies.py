@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from rowstrata.llm import nearcopies, simhash
+from rowstrata.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,9 +43,11 @@ def test_stage_drops_near_copies_beyond_radius_2(spark):
     assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()] == [0]
 
 
-def test_stage_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("bucket", [8192, 6])
+def test_stage_against_all_pairs(spark, monkeypatch, bucket):
     rng = random.Random(3)
-    monkeypatch.setattr(nearcopies, "SAMPLE", 60)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(simhash, "PIVOTS", min(bucket, 64) // 2)
     passage = [f"p{i}" for i in range(40)]
     texts = ["", None, " \n", "one two", "One two", "two one"]
     for _ in range(12):
@@ -58,3 +64,54 @@ def test_stage_against_all_pairs_of_known_documents(spark, small):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     want = [rows[i][0] for i in _kept([t for _, t in rows])]
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, small).collect()) == want
+
+
+def test_prefixes_meet():
+    """Sets of the least similarity share a shingle of their prefixes, whatever the counts."""
+    rng = random.Random(12)
+    for _ in range(300):
+        n = rng.randrange(1, 60)
+        both = [rng.randrange(10**18) for _ in range(n)]
+        more = n // 4
+        a = np.unique(np.array(both + [rng.randrange(10**18) for _ in range(rng.randint(0, more))], np.int64))
+        b = np.unique(np.array(both + [rng.randrange(10**18) for _ in range(max(0, more - (len(a) - n)))], np.int64))
+        counts = np.array([rng.randrange(5) for _ in range(simhash.CELLS)])
+        if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(simhash.prefix(a, counts), simhash.prefix(b, counts)))
+
+
+@pytest.mark.parametrize("radius", [0, 1, 4, 7])
+def test_any_radius_is_exact(spark, radius):
+    rng = random.Random(radius)
+    fps = [rng.getrandbits(64) for _ in range(30)]
+    for _ in range(150):
+        f = rng.choice(fps)
+        for _ in range(rng.randint(1, 9)):
+            f ^= 1 << rng.randrange(64)
+        fps.append(f)
+    fps = list(dict.fromkeys(fps))
+    up = list(range(len(fps)))
+    for i, a in enumerate(fps):
+        for j, b in enumerate(fps[:i]):
+            if (a ^ b).bit_count() <= radius and up[i] != up[j]:
+                lo, hi = sorted((up[i], up[j]))
+                up = [lo if u == hi else u for u in up]
+    nodes = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, i) for i, f in enumerate(fps)], "fp long, rep long")
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.link_edges(nodes, radius)).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == up
+
+
+def test_a_row_without_an_id_links_others(spark, monkeypatch):
+    prints = {"a": 0, "b": 3, "c": 15}
+    monkeypatch.setattr(simhash, "fingerprint_column", lambda text, width: F.when(text == "a", 0).when(text == "b", 3).otherwise(15).cast("long"))
+    docs = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
+    got = simhash.near_duplicates(docs).collect()
+    assert sorted((r["fp"], r["component_id"]) for r in got) == [(v, 1) for v in sorted(prints.values())]
+
+
+def test_stage_keeps_rows_with_odd_ids(spark):
+    long = "a text of six words or {} more than that".format
+    rows = [(None, long("few"), "en"), (None, "another text altogether that stands by itself", "en"), (5, "one text that has this id", None), (5, "quite another one of the same id", None), (6, long("few"), "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[4], *rows[1:4]]))

@@ -13,6 +13,34 @@ from rowstrata.llm import queries
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+NAMES = ["__score", "__id", "__copies", "__copy", "__rules_kept", "____rules_text", "n_words", "kept", "position", "node", "root", "__near_row", "__mix_row", "key", "size"]
+
+
+def test_stages_carry_columns_of_any_name(spark, small):
+    """Values, not names alone: each row keeps its own."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for n in NAMES:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    docs = docs.withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = queries.simhash.common.store(stage(spark, docs, small), "test")
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in NAMES) and all(r["m"] == {"k": r["doc_id"]} for r in rows), name
+
+
+def test_mixing_takes_rows_without_ids_and_repeated_ones(spark):
+    docs = spark.createDataFrame([(None, "a b c", "x"), (None, "d e f", "x"), (3, "g h", "x"), (3, "g h", "x"), (4, None, "x"), (5, "", None)], "doc_id long, text string, source string")
+    got = [r["text"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    # one source takes 1.5 times its 10 words in whole documents
+    assert set(got) == {"a b c", "d e f", "g h"} and got.count("g h") >= 2 and 13 <= sum(len(t.split()) for t in got) <= 17
+
+
+def test_stages_on_an_empty_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, small).collect() == []
+
+
 def test_stages_keep_the_columns_and_shrink(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("__score", F.lit("mine"))
     columns, counts = docs.columns, [docs.count()]
@@ -95,11 +123,15 @@ def test_pipeline_against_brute_force(spark, small):
         scores = model.score(queries.toxicity.np.array(queries.toxicity.Scorer(model).texts(d["text"] for d in left)))
         left = [d for d, s in zip(left, scores) if s < queries.toxicity.THRESHOLD]
     left.sort(key=lambda d: d["doc_id"])
-    prints = [queries.simhash.fingerprint(d["text"].encode()) for d in left]
+    # near copies: five words, a Jaccard similarity of 0.8 or more
+    grams = []
+    for d in left:
+        words = d["text"].encode().lower().split()
+        grams.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
     group = list(range(len(left)))
     for i in range(len(left)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
+            if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
     left = [d for i, d in enumerate(left) if group[i] == i]
