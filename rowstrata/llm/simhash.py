@@ -15,7 +15,8 @@ it finds, never all pairs; components are then found by star contraction.
 
 ``near_copies`` links texts at a Jaccard similarity of 0.8 or more of their five-word
 shingles. No radius alone can tell those, so its tiles propose pairs within the wide radius
-``NEAR_RADIUS`` and an exact check of the shingle sets decides. Its rows are dealt by
+``NEAR_RADIUS``, a parity sketch of each set spares most pairs that don't link (exclusive-or and bit counts
+again: they bound the difference of two sets from below), and an exact check of the shingle sets decides. Its rows are dealt by
 prefix filtering, which such texts can't escape: with all shingles in one order, they share
 one of the first n - ceil(0.8 n) + 1 of each. The order is rarest first, by counts
 over all texts that are kept in ``CELLS`` cells, then by hash; it decides the cost only.
@@ -257,6 +258,8 @@ NEAR_RADIUS = 20
 CELLS = 1 << 16
 #: Rows of a file too large for all pairs that the others are compared with at first.
 PIVOTS = 64
+#: Bits of the parity sketch of a set: how many of its shingles fall on each, odd or even.
+PARITY = 2048
 
 
 def shingle_set(text: bytes, width: int = NEAR_WIDTH) -> np.ndarray:
@@ -301,121 +304,148 @@ def prefix(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _print_column(text: Column, counts: np.ndarray, width: int) -> Column:
     @F.pandas_udf("struct<fp: long, prefix: array<long>>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        hashes = [shingle_hashes(t or b"", width) for t in texts]
-        sets = [np.unique(h.view(np.int64)) if len(h) else np.zeros(1, np.int64) for h in hashes]
-        prints = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": prints, "prefix": pd.Series([prefix(s, counts) for s in sets], dtype=object)})
+        prints, prefixes = np.zeros(len(texts), np.uint64), []
+        for i, t in enumerate(texts):
+            hashes = shingle_hashes(t or b"", width)
+            prints[i] = majority(hashes)
+            prefixes.append(prefix(np.unique(hashes.view(np.int64)) if len(hashes) else np.zeros(1, np.int64), counts))
+        return pd.DataFrame({"fp": prints.view(np.int64), "prefix": pd.Series(prefixes, dtype=object)})
 
     return run(text.cast("binary"))
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """The bits on which an odd number of the tokens falls. Those of two sets differ in no more bits than the sets in tokens."""
+    bit = ((tokens.view(np.uint64) >> np.uint64(16)) % np.uint64(PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
 def _set_column(text: Column, width: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t or b"", width) for t in texts], dtype=object)
+    @F.pandas_udf("struct<tokens: array<long>, parity: binary>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t or b"", width) for t in texts]
+        return pd.DataFrame({"tokens": pd.Series(sets, dtype=object), "parity": [parity(s) for s in sets]})
 
     return run(text.cast("binary"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted rows, cut where the column ``key`` changes: about a chunk of rows, or one longer run."""
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, cut where the first column changes: about a chunk of rows, or pieces of a run of more than ``most``."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-        held = new if held is None else [np.concatenate(two) for two in zip(held, new)]
-        if not len(held[key]):
+        new = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        held = new if held is None or not len(held[0]) else [np.concatenate(two) for two in zip(held, new)]
+        if not len(held[0]):
             continue
-        ends = np.flatnonzero(held[key][1:] != held[key][:-1]) + 1  # of all runs but the last, which may go on
+        ends = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1  # of all runs but the last, which may go on
         at = 0
         while at < (ends[-1] if len(ends) else 0):
             last = min(int(np.searchsorted(ends, at + CHUNK)), len(ends) - 1)
-            if last and at < ends[last - 1] and ends[last] - ends[last - 1] > BUCKET_ROWS:
+            if last and at < ends[last - 1] and ends[last] - ends[last - 1] > most:
                 last -= 1  # a long run stands alone
             stop = int(ends[last])
             yield [c[at:stop] for c in held]
             at = stop
         held = [c[at:] for c in held]
-    if held is not None and len(held[key]):
+        while len(held[0]) > most:
+            yield [c[:most] for c in held]
+            held = [c[most:] for c in held]
+    if held is not None and len(held[0]):
         yield held
 
 
 def _leaders(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """The sorted (token, node, fp) rows that have a neighbour within the radius under their token, and the smallest one.
 
-    A file of more than ``BUCKET_ROWS`` rows is compared with its smallest nodes alone, and stays whole.
+    A file of ``BUCKET_ROWS`` rows or more is compared with its smallest nodes alone, piece by piece, and stays whole.
     """
-    for token, node, fp in _runs(batches):
+
+    def out(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "fp", "leader"])
+
+    large, pivots = None, (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    for token, node, fp in _runs(batches, BUCKET_ROWS):
+        if len(node) >= BUCKET_ROWS and token[0] == token[-1] and large != token[0]:
+            large, pivots = token[0], (node[:PIVOTS], fp[:PIVOTS].view(np.uint64))
+        rest = token != large if large is not None else np.ones(len(token), bool)
+        if not rest.all():
+            of = ~rest
+            leader = node[of].copy()
+            for n, bits in zip(*pivots):
+                near = np.bitwise_count(fp[of].view(np.uint64) ^ bits) <= radius
+                leader[near] = np.minimum(leader[near], n)
+            yield out(token[of], node[of], fp[of], leader)
+        token, node, fp = token[rest], node[rest], fp[rest]
         alike = token[1:] == token[:-1]
-        some = np.flatnonzero(np.r_[False, alike] | np.r_[alike, False])
+        some = np.flatnonzero(np.r_[False, alike] | np.r_[alike, False]) if len(token) else []
         if not len(some):
             continue
         token, node, fp = token[some], node[some], fp[some]
         leader, live = node.copy(), np.zeros(len(node), bool)
-        if len(node) > BUCKET_ROWS and token[0] == token[-1]:
-            live[:] = True
-            for i in np.argsort(node, kind="stable")[:PIVOTS][::-1]:
-                near = np.bitwise_count(fp.view(np.uint64) ^ fp[i : i + 1].view(np.uint64)) <= radius
-                leader[near] = np.minimum(leader[near], node[i])
-        else:
-            for x, y in tile_links(fp.view(np.uint64), radius):
-                own = token[x] == token[y]
-                x, y = x[own], y[own]
-                live[x] = live[y] = True
-                np.minimum.at(leader, x, node[y])
-                np.minimum.at(leader, y, node[x])
+        for x, y in tile_links(fp.view(np.uint64), radius):
+            own = token[x] == token[y]
+            x, y = x[own], y[own]
+            live[x] = live[y] = True
+            np.minimum.at(leader, x, node[y])
+            np.minimum.at(leader, y, node[x])
         if live.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[live]) for c in (token, node, fp, leader)], names=["token", "node", "fp", "leader"])
+            yield out(token[live], node[live], fp[live], leader[live])
 
 
 def _across(batches: Iterator[pa.RecordBatch], radius: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a > b, of the sorted (token, node, fp, group) rows: under one token, in two groups, within the radius.
+    """Pairs (a, b), a > b, of the sorted (file, node, fp, group, size, parity) rows that may link: in one file and two groups.
 
-    ``nearest``: of each row, only the pair with the fewest differing bits.
+    ``nearest``: of each row, only the pair whose sketches differ least.
     """
 
-    def tiles(group: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if len(fp) <= BUCKET_ROWS:
-            yield from tile_links(fp.view(np.uint64), radius)
-            return
-        # the rows of the largest group need no comparison with each other
-        names, sizes = np.unique(group, return_counts=True)
-        most = np.flatnonzero(group == names[sizes.argmax()])
-        rest = np.flatnonzero(group != names[sizes.argmax()])
-        for x, y in tile_links(fp[rest].view(np.uint64), radius):
-            yield rest[x], rest[y]
-        bits = fp.view(np.uint64)
-        for i in range(0, len(rest), TILE):
-            for j in range(0, len(most), TILE * TILE):
-                a, b = rest[i : i + TILE], most[j : j + TILE * TILE]
-                x, y = np.nonzero(np.bitwise_count(bits[a][:, None] ^ bits[b][None, :]) <= radius)
-                yield a[x], b[y]
-
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    for token, node, fp, group in _runs(batches):
-        bits, best, partner = fp.view(np.uint64), np.full(len(fp), BITS + 1), np.zeros(len(fp), np.int64)
-        for x, y in tiles(group, fp):
-            own = (token[x] == token[y]) & (group[x] != group[y])
+    for file, node, fp, group, size, bits in _runs(batches, 1 << 62):
+        best, partner = np.full(len(fp), np.iinfo(np.int64).max), np.zeros(len(fp), np.int64)
+        for x, y in tile_links(fp.view(np.uint64), radius):
+            own = (file[x] == file[y]) & (group[x] != group[y])
             x, y = x[own], y[own]
+            apart = np.concatenate([np.bitwise_count(bits[x[i : i + 4096]] ^ bits[y[i : i + 4096]]).sum(axis=1, dtype=np.int64) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+            # sets of this similarity differ by so much of their sizes, at most
+            may = (ALIKE[1] + ALIKE[0]) * apart <= (ALIKE[1] - ALIKE[0]) * (size[x] + size[y])
+            x, y, apart = x[may], y[may], apart[may]
             if not len(x):
                 continue
             if not nearest:
                 yield out(node[x], node[y])
                 continue
-            apart = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
             order = np.argsort(-apart, kind="stable")  # the nearest is written last
-            for here, there in ((x[order], y[order]), (y[order], x[order])):
-                far = apart[order]
+            x, y, far = x[order], y[order], apart[order]
+            for here, there in ((x, y), (y, x)):
                 closer = far < best[here]
                 partner[here[closer]] = node[there[closer]]
                 best[here[closer]] = far[closer]
-        found = np.flatnonzero(best <= BITS)
+        found = np.flatnonzero(best < np.iinfo(np.int64).max)
         if len(found):
             yield out(node[found], partner[found])
 
 
+def _dealt_across(rows: DataFrame) -> DataFrame:
+    """(file, ...) of the (token, node, fp, group) rows whose token holds more than one group.
+
+    A token's rows are one file. Of a token with more than ``BUCKET_ROWS`` the rows of the largest group, which need no comparison
+    with each other, and the rest are cut into slices, and each pair of slices but two of that group is a file: of bounded size, and no pair is left out.
+    """
+    per = rows.groupBy("token", "group").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.max(F.struct("n", "group")).alias("most"))
+    per = per.where(F.col("most.n") < F.col("n")).select(F.col("token").alias("t"), F.when(F.col("n") > BUCKET_ROWS, F.ceil(F.col("most.n") / BUCKET_ROWS)).alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BUCKET_ROWS).alias("rest"), F.col("most.group").alias("mode"))
+    rows = rows.join(per, F.col("token") == F.col("t"))
+    slice_of = lambda count: F.pmod(F.xxhash64("node"), count)
+    each = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
+    of_most = F.transform(each(F.col("rest")), lambda j: F.xxhash64("token", F.lit("m"), slice_of(F.col("main")), j))
+    own = slice_of(F.col("rest"))
+    with_most = F.transform(each(F.col("main")), lambda i: F.xxhash64("token", F.lit("m"), i, own))
+    with_rest = F.transform(each(F.col("rest")), lambda j: F.xxhash64("token", F.lit("r"), F.least(own, j), F.greatest(own, j)))
+    files = F.when(F.col("main").isNull(), F.array(F.xxhash64("token"))).when(F.col("group") == F.col("mode"), of_most).otherwise(F.concat(with_most, with_rest))
+    return rows.select(F.explode(files).alias("file"), "node", "fp", "group")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, stored."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -446,13 +476,14 @@ def near_copies(docs: DataFrame, text_col: str = "text", width: int = NEAR_WIDTH
     live = common.store(filed.mapInArrow(lambda batches: _leaders(batches, radius), "token long, node long, fp long, leader long"), "candidates")
     named = live.select(F.col("node").alias("named")).distinct()
     sets = texts.join(named, F.col("node") == F.col("named"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = common.store(sets.select("node", _set_column(F.col("text"), width).alias("tokens")), "shingles")
+    sets = common.store(sets.select("node", _set_column(F.col("text"), width).alias("s")).select("node", "s.*"), "shingles")
+    sketches = sets.select(F.col("node").alias("of"), F.size("tokens").alias("size"), "parity")
 
     def proposed(groups: DataFrame, nearest: bool) -> DataFrame:
         rows = live.select("token", "node", "fp").join(groups.select(F.col("node").alias("in"), "root"), F.col("node") == F.col("in"), "left")
-        rows = rows.select("token", "node", "fp", F.coalesce("root", "node").alias("group"))
-        mixed = rows.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select(F.col("token").alias("mixed"))
-        rows = rows.join(mixed, F.col("token") == F.col("mixed"), "left_semi").repartition(n, "token").sortWithinPartitions("token", "node")
+        rows = _dealt_across(rows.select("token", "node", "fp", F.coalesce("root", "node").alias("group")))
+        rows = rows.join(sketches, F.col("node") == F.col("of")).select("file", "node", "fp", "group", F.col("size").cast("long").alias("size"), "parity")
+        rows = rows.repartition(n, "file").sortWithinPartitions("file", "node")
         return rows.mapInArrow(lambda batches: _across(batches, radius, nearest), "a long, b long").distinct()
 
     first = common.store(live.where("leader < node").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")

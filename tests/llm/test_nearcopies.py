@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,51 @@ def test_stage_keeps_rows_with_odd_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[4], *rows[1:4]]))
+
+
+def _batches(rows, names, size):
+    columns = list(zip(*rows))
+    return [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in columns], names=names) for i in range(0, len(rows), size)]
+
+
+@pytest.mark.parametrize("size", [7, 50, 1000])
+def test_leaders_of_long_files_lose_no_neighbour(monkeypatch, size):
+    """Small files find their smallest neighbour; rows of a large one all stay, near its smallest nodes or not."""
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(simhash, "PIVOTS", 3)
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = random.Random(size)
+    prints = [rng.getrandbits(63) for _ in range(4)]
+    rows = sorted((t, rng.getrandbits(40), rng.choice(prints) ^ (1 << rng.randrange(63))) for t in [1] * 5 + [2] * 30 + [3] * 200 + [4] * 2 + [5] + [6] * 39)
+    got = {(r["token"], r["node"]): r["leader"] for b in simhash._leaders(iter(_batches(rows, ["token", "node", "fp"], size)), 2) for r in b.to_pylist()}
+    for t, node, fp in rows:
+        near = [n for u, n, f in rows if u == t and n != node and (f ^ fp).bit_count() <= 2]
+        if t == 3:
+            pivots = [n for u, n, f in rows if u == 3][:3]
+            assert got[t, node] == min([node, *(n for n in near if n in pivots)])
+        else:
+            assert got.get((t, node)) == (min([node, *near]) if near else None)
+
+
+@pytest.mark.parametrize("bucket", [4, 9, 1000])
+def test_pairs_of_slices_are_complete(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", bucket)
+    rng = random.Random(bucket)
+    rows = [(t, i, 0, g) for t, n in ((1, 40), (2, 5), (3, 20)) for i, g in enumerate([0] * (n // 2) + [rng.randrange(1, 6) for _ in range(n - n // 2)])]
+    got = simhash._dealt_across(spark.createDataFrame([*rows, (9, 1, 0, 7), (9, 2, 0, 7)], "token long, node long, fp long, group long")).collect()
+    files = {}
+    for r in got:
+        files.setdefault(r["file"], []).append((r["node"], r["group"]))
+    token = {r["file"]: None for r in got}
+    assert len(token) == len(files) and all(len(f) <= max(3 * bucket, 12) for f in files.values())
+    want = {frozenset((a, b)) for t in (1, 2, 3) for u, a, _, g in rows for v, b, _, h in rows if u == v == t and g != h}
+    assert {frozenset((a, b)) for f in files.values() for a, g in f for b, h in f if g != h} == want
+
+
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(-(2**62), 2**62, rng.integers(1, 400))) for _ in range(2))
+        b = np.union1d(b, a[: rng.integers(0, len(a) + 1)])
+        apart = int(np.bitwise_count(np.frombuffer(simhash.parity(a), np.uint8) ^ np.frombuffer(simhash.parity(b), np.uint8)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and apart % 2 == len(np.setxor1d(a, b)) % 2
