@@ -89,6 +89,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, example, n_turns, formatted, loss_start, loss_end); the mask is a range of code points."""
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["conv_id"].dataType.simpleString()
+    common.bounded_batches(turns.sparkSession)
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     names = ["conv_id", "example", "n_turns", "formatted", "loss_start", "loss_end"]

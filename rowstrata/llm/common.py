@@ -36,6 +36,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes of rows that a Python worker gets at once, whatever the length of texts.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession | None = None) -> None:
+    """Have Spark cut the batches for Python workers by bytes, unless the session says how."""
+    spark = spark or SparkSession.getActiveSession()
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 _made: list[str] = []
 
 

@@ -145,6 +145,7 @@ def tokenize(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "do
     kind = source.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
     width, end = 4 * window, END_ID.to_bytes(4, "little")
+    common.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
@@ -159,6 +160,7 @@ def tokenize(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "do
                         piece = body[at : at + width]
                         rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(body) // 4, piece)[: len(names)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        words.known.clear()  # the worker lives on, for other work too
 
     return source.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 

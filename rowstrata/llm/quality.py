@@ -145,6 +145,7 @@ def learn(docs: DataFrame, ratings: DataFrame, text_col: str = "text", sample: i
 
 def score_column(model: Model, text: Column) -> Column:
     """struct(expected_grade, tails): tails holds P(grade >= g) for each grade but the lowest."""
+    common.bounded_batches()
 
     @F.pandas_udf("expected_grade double, tails array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -77,6 +77,7 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 def fingerprint_column(text: Column, width: int = SHINGLE) -> Column:
     """Fingerprints as signed longs."""
+    common.bounded_batches()
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
@@ -467,6 +468,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", width: int = NEAR_WIDTH
     no pair each, and no link between components is left out.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     texts = docs.select(text_key(text_col).alias("node"), common.text_or_empty(text_col).alias("text"))
     slim = texts.select("node", _print_column(F.col("text"), shingle_counts(texts, width), width).alias("p"))
     nodes = slim.groupBy("node").agg(F.first("p").alias("p"))

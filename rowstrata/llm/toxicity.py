@@ -507,6 +507,7 @@ def score_column(model: Model | None, text: Column) -> Column:
     """The toxicity of each text, 0 to 1. A plain 0 where nothing could be learned."""
     if model is None:
         return F.lit(0.0)
+    common.bounded_batches()
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

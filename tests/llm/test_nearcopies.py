@@ -152,7 +152,7 @@ def test_pairs_of_slices_are_complete(spark, monkeypatch, bucket):
     for r in got:
         files.setdefault(r["file"], []).append((r["node"], r["group"]))
     token = {r["file"]: None for r in got}
-    assert len(token) == len(files) and all(len(f) <= max(3 * bucket, 12) for f in files.values())
+    assert len(token) == len(files) and all(len(f) <= max(4 * bucket, 20) for f in files.values())
     want = {frozenset((a, b)) for t in (1, 2, 3) for u, a, _, g in rows for v, b, _, h in rows if u == v == t and g != h}
     assert {frozenset((a, b)) for f in files.values() for a, g in f for b, h in f if g != h} == want
 
