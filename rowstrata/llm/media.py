@@ -2,8 +2,10 @@
 
 ``encode_media`` wraps a byte payload losslessly as an uncompressed 8-bit video
 track (QuickTime codec ``raw ``, grey frames of 64x1 samples). ``index_media``
-walks the nested boxes of any ISO media file, decodes its sample tables and
-gives codec, duration and keyframe byte ranges; it never touches the payload.
+walks the nested boxes of any ISO media file, decodes its sample tables (those of
+movie fragments too) and gives codec, duration and keyframe byte ranges; it never touches the payload.
+Boxes are walked by a list of open parents, ``DEPTH`` deep at most, and no table is
+believed that its box has no room for.
 
 Defined results: a null payload counts as empty; an empty one is stored as one
 zero frame; a file that cannot be walked gives a row with ``error`` set and the
@@ -28,7 +30,9 @@ FRAME = 64
 GOP = 32
 TIMESCALE = 25
 #: Boxes whose payload is itself a list of boxes (fixed names of the format).
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf", b"udta"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf"}
+#: Boxes inside boxes, at most; a deeper file is an error.
+DEPTH = 64
 #: Output batches are cut at about so many bytes, whatever the input batches hold.
 BATCH_BYTES = 8 << 20
 
@@ -83,10 +87,13 @@ def build_container(payload: bytes) -> bytes:
     return head + moov(lead) + struct.pack(">I4sQ", 1, b"mdat", 16 + len(payload)) + payload
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Yield (path of names, first body byte, end) of every box, nested ones too."""
-    end = len(data) if end is None else end
-    while start < end:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """Yield (path of names, start, first body byte, end) of every box, nested ones too, in file order."""
+    open_ = [(0, len(data), ())]  # where to go on, the parent's end, its path
+    while open_:
+        start, end, path = open_.pop()
+        if start == end:
+            continue
         if end - start < 8:
             raise ValueError(f"box header cut at byte {start}")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -96,35 +103,107 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
                 raise ValueError(f"long box header cut at byte {start}")
             size, body = struct.unpack_from(">Q", data, body)[0], start + 16
         elif size == 0:
+            if path:
+                raise ValueError(f"box {kind!r} at byte {start} has no end inside its parent")
             size = end - start
         stop = start + size
         if stop > end or stop < body:
             raise ValueError(f"box {kind!r} at byte {start} leaves its parent")
-        yield (*path, kind), body, stop
+        open_.append((stop, end, path))
+        yield (*path, kind), start, body, stop
         if kind in CONTAINERS:
-            yield from walk(data, body, stop, (*path, kind))
-        start = stop
+            if len(path) >= DEPTH:
+                raise ValueError(f"boxes nest deeper than {DEPTH} at byte {start}")
+            open_.append((body, stop, (*path, kind)))
 
 
-def _table(data: bytes, body: int, stop: int, width: int, skip: int = 4) -> np.ndarray:
-    """The entries of a full box: a count after ``skip`` bytes, then rows of u4."""
+def _table(data: bytes, body: int, stop: int, width: int, skip: int = 4, kind: str = ">u4") -> np.ndarray:
+    """The entries of a full box: a count after ``skip`` bytes, then rows of numbers."""
     (n,) = struct.unpack_from(">I", data, body + skip)
-    if body + skip + 4 + 4 * width * n > stop:
+    if body + skip + 4 + np.dtype(kind).itemsize * width * n > stop:
+        raise ValueError("sample table leaves its box")
+    return np.frombuffer(data, kind, n * width, body + skip + 4).reshape(n, width).astype(np.int64)
+
+
+def _small_sizes(data: bytes, body: int, stop: int) -> np.ndarray:
+    """The entries of ``stz2``, of 4, 8 or 16 bits."""
+    width, n = data[body + 7], struct.unpack_from(">I", data, body + 8)[0]
+    if width not in (4, 8, 16) or body + 12 + (n * width + 7) // 8 > stop:
+        raise ValueError("sample table leaves its box")
+    if width == 16:
+        return np.frombuffer(data, ">u2", n, body + 12).astype(np.int64)
+    each = np.frombuffer(data, np.uint8, (n * width + 7) // 8, body + 12).astype(np.int64)
+    return each if width == 8 else np.stack([each >> 4, each & 15], axis=1).ravel()[:n]
+
+
+#: Sample flag of a fragment: the sample depends on others, so it is no keyframe.
+_NO_KEY = 0x10000
+
+
+def _fragment(data: bytes, body: int, stop: int, state: dict) -> None:
+    """Decode ``trun``: its samples go to the track, each with place, size, duration and whether it is a keyframe."""
+    flags = int.from_bytes(data[body + 1 : body + 4], "big")
+    (n,) = struct.unpack_from(">I", data, body + 4)
+    at, offset, first = body + 8, None, None
+    if flags & 0x1:
+        offset, at = struct.unpack_from(">i", data, at)[0], at + 4
+    if flags & 0x4:
+        first, at = struct.unpack_from(">I", data, at)[0], at + 4
+    columns = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    if at + 4 * n * len(columns) > stop or (n > len(data) and not columns):
         raise ValueError("sample table leaves its box")
-    return np.frombuffer(data, ">u4", n * width, body + skip + 4).reshape(n, width).astype(np.int64)
+    rows = np.frombuffer(data, ">u4", n * len(columns), at).reshape(n, len(columns)).astype(np.int64)
+    column = lambda name: rows[:, columns.index(name)] if name in columns else np.full(n, state.get(name, 0), np.int64)
+    sizes, marks = column("size"), column("flags").copy()
+    if first is not None and n:
+        marks[0] = first
+    start = state["base"] + offset if offset is not None else state["next"]
+    state["next"] = start + int(sizes.sum())
+    track = state["track"]
+    track.setdefault("pieces", []).append((start + np.cumsum(sizes) - sizes, sizes, marks & _NO_KEY == 0))
+    track["added"] = track.get("added", 0) + int(column("duration").sum())
 
 
 def read_tracks(data: bytes) -> list[dict]:
-    """Codec, times and sample byte ranges of each track, from its tables alone."""
+    """Codec, times and sample byte ranges of each track, from its tables and fragments alone."""
     tracks: list[dict] = []
-    for path, body, stop in walk(data):
+    defaults: dict[int, dict] = {}
+    state: dict = {}
+    moof = 0
+    for path, start, body, stop in walk(data):
         kind = path[-1]
-        if kind == b"trak":
+        if kind == b"trak" and b"moov" in path:
             tracks.append({})
+        elif kind == b"trex":
+            track, _, duration, size, flags = struct.unpack_from(">IIIII", data, body + 4)
+            defaults[track] = {"duration": duration, "size": size, "flags": flags}
+        elif kind == b"moof":
+            moof, state = start, {}
+        elif kind == b"tfhd":
+            flags, (track,) = int.from_bytes(data[body + 1 : body + 4], "big"), struct.unpack_from(">I", data, body + 4)
+            own = next((t for t in tracks if t.get("id") == track), None)
+            if own is None:
+                raise ValueError(f"a fragment of an unknown track {track}")
+            follow = state.get("next", moof)  # without a base of its own it goes on where the last run ended
+            state = {**defaults.get(track, {}), "track": own, "base": moof if flags & 0x20000 else follow, "next": follow}
+            at = body + 8
+            for bit, width, name in ((0x1, 8, "base"), (0x2, 4, None), (0x8, 4, "duration"), (0x10, 4, "size"), (0x20, 4, "flags")):
+                if flags & bit:
+                    if name:
+                        state[name] = int.from_bytes(data[at : at + width], "big")
+                    at += width
+            if flags & 0x20001:
+                state["next"] = state["base"]
+        elif kind == b"trun":
+            if "track" not in state:
+                raise ValueError("a run of samples without a track")
+            _fragment(data, body, stop, state)
         if not tracks or b"trak" not in path:
             continue
         t = tracks[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            (t["id"],) = struct.unpack_from(">I", data, body + (20 if data[body] == 1 else 12))
+        elif kind == b"mdhd":
             t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, body + 20) if data[body] == 1 else struct.unpack_from(">II", data, body + 12)
         elif kind == b"hdlr":
             t["handler"] = data[body + 8 : body + 12].decode("latin-1")
@@ -138,12 +217,15 @@ def read_tracks(data: bytes) -> list[dict]:
             t["stsc"] = _table(data, body, stop, 3)
         elif kind == b"stsz":
             same, n = struct.unpack_from(">II", data, body + 4)
+            if same and n * same > len(data):
+                raise ValueError("more samples are stated than the file holds")
             t["sizes"] = np.full(n, same, np.int64) if same else _table(data, body, stop, 1, 8)[:, 0]
+        elif kind == b"stz2":
+            t["sizes"] = _small_sizes(data, body, stop)
         elif kind == b"stco":
             t["chunks"] = _table(data, body, stop, 1)[:, 0]
         elif kind == b"co64":
-            (n,) = struct.unpack_from(">I", data, body + 4)
-            t["chunks"] = np.frombuffer(data, ">u8", n, body + 8).astype(np.int64)
+            t["chunks"] = _table(data, body, stop, 1, kind=">u8")[:, 0]
     for t in tracks:
         sizes, chunks, runs = t.get("sizes", np.zeros(0, np.int64)), t.get("chunks", np.zeros(0, np.int64)), t.get("stsc", np.zeros((0, 3), np.int64))
         per = np.zeros(len(chunks), np.int64)
@@ -155,10 +237,15 @@ def read_tracks(data: bytes) -> list[dict]:
         before = np.cumsum(sizes) - sizes
         lead = np.cumsum(per) - per
         t["offsets"] = chunks[chunk] + before - before[lead[chunk]] if len(sizes) else sizes
-        if len(sizes) and (int((t["offsets"] + sizes).max()) > len(data)):
+        keys = t["stss"] - 1 if "stss" in t else np.arange(len(sizes))
+        for offsets, more, key in t.get("pieces", ()):
+            keys = np.r_[keys, len(sizes) + np.flatnonzero(key)]
+            sizes, t["offsets"] = np.r_[sizes, more], np.r_[t["offsets"], offsets]
+        if t.get("pieces") and not t.get("duration"):
+            t["duration"] = t["added"]
+        if len(sizes) and (int(t["offsets"].min()) < 0 or int((t["offsets"] + sizes).max()) > len(data)):
             raise ValueError("a sample lies past the end of the file")
-        t["sizes"] = sizes
-        t["keys"] = t["stss"] - 1 if "stss" in t else np.arange(len(sizes))
+        t["sizes"], t["keys"] = sizes, keys
     return tracks
 
 
@@ -187,6 +274,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, weigh) -> Iterator[pa.Rec
 
 def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each text as the payload of an ISO media file."""
+    common.bounded_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col).alias("id"), common.text_or_empty(text_col).cast("binary").alias("payload"))
 
@@ -203,14 +291,14 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 _TRACK = "array<struct<handler:string,codec:string,timescale:long,duration:long,samples:long,keyframes:array<struct<offset:long,length:long>>>>"
 
 
-def describe(data: bytes) -> list[dict]:
+def describe(data: bytes, tracks: list[dict] | None = None) -> list[dict]:
     """What ``index_media`` stores for one file."""
     return [
         {
             "handler": t.get("handler"), "codec": t.get("codec"), "timescale": t.get("timescale"), "duration": t.get("duration"), "samples": len(t["sizes"]),
             "keyframes": [{"offset": int(t["offsets"][k]), "length": int(t["sizes"][k])} for k in t["keys"] if 0 <= k < len(t["sizes"])],
         }
-        for t in read_tracks(data)
+        for t in (read_tracks(data) if tracks is None else tracks)
     ]
 
 
@@ -223,7 +311,7 @@ def index_media(df: DataFrame, id_col: str = "id", media_col: str = "media") ->
     def one(i, data):
         try:
             return i, len(data or b""), describe(data or b""), None
-        except (ValueError, struct.error, IndexError) as e:
+        except (ValueError, struct.error, IndexError, OverflowError) as e:
             return i, len(data or b""), None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +342,9 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
             def rows(batch=batch):
                 for i, n, m in zip(batch["id"], batch["n_bytes"], batch["media"]):
                     data = m.as_py()
-                    back = read_payload(data, read_tracks(data)[0])
-                    yield i.as_py(), n.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(data), hashlib.sha256(data).hexdigest(), feature(describe(data))
+                    tracks = read_tracks(data)
+                    back = read_payload(data, tracks[0])
+                    yield i.as_py(), n.as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(data), hashlib.sha256(data).hexdigest(), feature(describe(data, tracks))
 
             yield from _batches(rows(), schema, lambda r: 500)
 
