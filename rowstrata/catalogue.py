@@ -11,6 +11,7 @@ from .functions import sql as fn
 from .operators import chunks, joins, stats
 from .plans.filters import And, Compare, Field, Filter, FilterSet, In, IsNotNull, IsNull, Or, Prefix
 from .plans.scan import ScanRequest
+from .sources.database import ConflictError
 from .sources.scratch import scratch_database
 from .streaming import events as streams
 
@@ -229,10 +230,70 @@ def _(spark, d):
     return con.view("per_customer")
 
 
-@query("seq_values", "SELECT n_nationkey, 10 + 5 * (row_number() OVER (ORDER BY n_nationkey) - 1) AS id FROM nation")
+@query("seq_values", "SELECT s_suppkey, 13 + 5 * (row_number() OVER (ORDER BY s_suppkey) - 1) AS id FROM supplier")
 def _(spark, d):
-    keys = table(spark, d, "nation").select("n_nationkey")
-    return keys.select("n_nationkey", (10 + 5 * (F.row_number().over(Window.orderBy("n_nationkey")) - 1)).cast("long").alias("id"))
+    """Rows numbered by a sequence: a block as long as the table is reserved, and row ids choose within it."""
+    con = scratch_database(spark).connect()
+    con.create_sequence("ids", start=8, increment=5)
+    con.next_value("ids")
+    con.create_table("s", [("s_suppkey", "BIGINT")])
+    con.insert("s", table(spark, d, "supplier").select("s_suppkey").orderBy("s_suppkey"))
+    block = con.next_values("ids", con.scan("s").count())
+    return con.scan("s", rowid=True).select("s_suppkey", (block.start + block.step * F.col("rowid")).alias("id"))
+
+
+@query("scan_sample", "SELECT 'rows of the table' AS fact, true AS holds UNION ALL SELECT 'about the share', true UNION ALL SELECT 'again the same', true")
+def _(spark, d):
+    """A sampled scan: rows of the table, about the share asked for, the same ones for the same seed."""
+    take = lambda: ScanRequest(["l_orderkey", "l_quantity"]).sample(0.3, 7).apply(table(spark, d, "lineitem"))
+    n = table(spark, d, "lineitem").count()
+    holds = lambda c: F.coalesce(c, F.lit(True)).alias("holds")
+    known = table(spark, d, "lineitem").select("l_orderkey", "l_quantity").distinct()
+    stray = take().join(known, ["l_orderkey", "l_quantity"], "left_anti").agg(holds(F.count("*") == 0))
+    share = take().agg(holds(F.count("*").between(int(0.25 * n), int(0.35 * n))))
+    both = take().withColumn("sign", F.lit(1)).unionByName(take().withColumn("sign", F.lit(-1)))
+    again = both.agg(holds(F.sum(F.col("sign") * F.xxhash64("l_orderkey", "l_quantity").cast("decimal(30,0)")) == 0))
+    parts = [f.select(F.lit(name).alias("fact"), "holds") for name, f in (("rows of the table", stray), ("about the share", share), ("again the same", again))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("catalog_entries", "SELECT 'main' AS schema, 'orders' AS name, 'o_orderkey' AS first_column, 'BIGINT' AS type UNION ALL SELECT 'side', 'notes', 'id', 'INTEGER'")
+def _(spark, d):
+    """Schemas and tables made, listed, and dropped again."""
+    con = _orders(spark, d)
+    con.create_schema("side")
+    con.create_table("side.notes", [("id", "INTEGER"), ("text", "VARCHAR")])
+    con.create_table("side.gone", [("id", "INTEGER")])
+    con.drop_table("side.gone")
+    con.create_schema("empty")
+    con.drop_schema("empty")
+    rows = [(s, t, *columns[0]) for s in ("main", "side") for t, columns in con.get_schema(s).items()]
+    return spark.createDataFrame(rows, "schema string, name string, first_column string, type string")
+
+
+@query("txn_conflict", "SELECT 'second' AS loser, count(*) FILTER (o_custkey % 2 <> 0) AS n FROM orders")
+def _(spark, d):
+    """Two transactions delete the same rows: the first to commit wins."""
+    con = _orders(spark, d)
+    other = con.db.connect()
+    con.begin()
+    other.begin()
+    for c in (con, other):
+        c.delete("orders", c.scan("orders", rowid=True).where("o_custkey % 2 = 0").select("rowid"))
+    con.commit()
+    try:
+        other.commit()
+        loser = "none"
+    except ConflictError:
+        loser = "second"
+    return con.scan("orders").agg(F.lit(loser).alias("loser"), F.count("*").alias("n"))
+
+
+@query("table_files", "SELECT 'insert' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'delete', count(*) FILTER (o_orderstatus = 'F') FROM orders")
+def _(spark, d):
+    con = _orders(spark, d)
+    con.delete("orders", con.scan("orders", rowid=True).where("o_orderstatus = 'F'").select("rowid"))
+    return spark.createDataFrame([(f["kind"], f["rows"]) for f in con.files("orders")], "kind string, n long")
 
 
 _STUDENTS = "SELECT i::INT AS id, (18 + i % 10)::INT AS age, (50 + i % 50)::INT AS score FROM range(1, 10001) t(i)"
@@ -278,9 +339,11 @@ def _(spark, d):
     return table(spark, d, "lineitem").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
-@query("approx_distinct")
+@query("approx_distinct", "SELECT true AS parts, true AS orders")
 def _(spark, d):
-    return table(spark, d, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.approx_count_distinct("l_orderkey").alias("orders"))
+    """Whether the estimates lie within 10 % of the exact counts."""
+    near = lambda c: (F.abs(F.approx_count_distinct(c) - F.count_distinct(c)) <= 0.1 * F.count_distinct(c))
+    return table(spark, d, "lineitem").agg(near("l_partkey").alias("parts"), near("l_orderkey").alias("orders"))
 
 
 @query("stats_minmax", "SELECT min(l_orderkey) AS min_value, max(l_orderkey) AS max_value, count(*) AS row_count FROM lineitem")
@@ -412,10 +475,10 @@ def _(spark, d):
     return table(spark, d, "region").select("r_regionkey", F.concat("r_name", F.lit("")).alias("s"))
 
 
-@query("fn_date_between", "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1970-01-01' + 9000 AND DATE '1970-01-01' + 9100")
+@query("fn_date_between", "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1970-01-01' + 9500 AND DATE '1970-01-01' + 9600")
 def _(spark, d):
     day = F.col("l_shipdate").cast("date")
-    return table(spark, d, "lineitem").where(day.between(fn.day(F.lit(9000)), fn.day(F.lit(9100)))).select("l_orderkey", "l_linenumber", day.alias("day"))
+    return table(spark, d, "lineitem").where(day.between(fn.day(F.lit(9500)), fn.day(F.lit(9600)))).select("l_orderkey", "l_linenumber", day.alias("day"))
 
 
 @query("fn_case", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'middle' ELSE 'low' END AS band FROM orders")

@@ -79,6 +79,18 @@ def verdicts(zones: DataFrame, filters: FilterSet) -> dict[int, Verdict]:
     return out
 
 
+#: Ranges of row ids that are tested one by one; more are looked up.
+MOST_RANGES = 100
+
+
+def _any(tests: list[Column]) -> Column:
+    """OR of the tests, as a balanced tree."""
+    if len(tests) <= 1:
+        return tests[0] if tests else F.lit(False)
+    half = len(tests) // 2
+    return _any(tests[:half]) | _any(tests[half:])
+
+
 def pruned_scan(df: DataFrame, zones: DataFrame, filters: FilterSet, rowid: str = "__rowid", rows: int = ROW_GROUP) -> DataFrame:
     """The filtered rows of the row groups that may hold any, as ranges of row ids."""
     keep = sorted(rg for rg, v in verdicts(zones, filters).items() if v is not Verdict.NEVER)
@@ -88,10 +100,11 @@ def pruned_scan(df: DataFrame, zones: DataFrame, filters: FilterSet, rowid: str
             ranges[-1][1] = rg + 1
         else:
             ranges.append([rg, rg + 1])
-    inside = F.lit(False)
-    for a, b in ranges:
-        inside = inside | F.col(rowid).between(a * rows, b * rows - 1)
-    out = df.where(inside)
+    if len(ranges) <= MOST_RANGES:
+        out = df.where(_any([F.col(rowid).between(a * rows, b * rows - 1) for a, b in ranges]))
+    else:
+        kept = df.sparkSession.createDataFrame([(rg,) for rg in keep], "__kept long")
+        out = df.join(kept, row_group(F.col(rowid), rows) == F.col("__kept"), "left_semi")
     for name, f in filters:
         out = out.where(f.column(F.col(name)))
     return out

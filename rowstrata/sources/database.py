@@ -15,12 +15,13 @@ from __future__ import annotations
 import copy
 import json
 import os
+import time
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from contextlib import contextmanager, suppress
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ from ..plans.scan import ScanRequest, did_you_mean
 from ..types import parse_type
 
 ROWID, SEQ = "__rowid", "__seq"
+#: What is younger than a week may belong to open transactions and pinned readers.
+KEEP_SECONDS = 7 * 86400.0
 DEFAULT_SCHEMAS = ("main", "pg_catalog", "information_schema", "temp")
 
 
@@ -66,8 +69,11 @@ class Store:
 
         The text goes to a file of its own first. A link (local disks) or a rename
         (file systems whose rename never replaces a file, as HDFS's) then gives it
-        the name, so no reader sees a part of it and only one writer wins.
+        the name, so no reader sees a part of it and only one writer wins. Stores without such a
+        rename (object stores, where two writers could both see no file) are refused.
         """
+        if (scheme := self._fs.getUri().getScheme()) in ("s3", "s3a", "s3n", "gs", "wasb", "wasbs", "oss", "cos"):
+            raise DatabaseError(f"{scheme} has no rename that only one writer wins; keep the database on HDFS or a mounted path")
         own = f"{name}.{uuid.uuid4().hex}.tmp"
         out = self._fs.create(self._path(own), False)
         out.write(bytearray(text.encode()))
@@ -96,6 +102,18 @@ class Store:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder changed."""
+        return time.time() - self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
+
+def _folders(state: dict) -> set[str]:
+    """The data folders that a manifest names."""
+    return {e["dir"] for s in state["schemas"].values() for t in s.values() for e in [*t["data"], *t["deletes"]]}
+
 
 def _empty() -> dict:
     return {"version": 0, "schemas": {s: {} for s in DEFAULT_SCHEMAS}, "views": {}, "sequences": {}, "next": 1}
@@ -141,15 +159,24 @@ class Database:
         state["version"] = int(names[-1].split(".")[0]) + 1
         return self.store.create(f"_log/{state['version']:08d}.json", json.dumps(state))
 
-    def vacuum(self) -> None:
-        """Drop data folders that no manifest names (of rolled-back or crashed transactions), and old manifests."""
+    def vacuum(self, min_age: float = KEEP_SECONDS) -> None:
+        """Drop data folders that no manifest names (of rolled-back or crashed transactions), and old manifests.
+
+        What changed in the last ``min_age`` seconds stays, with all that manifests of that time name: open
+        transactions have staged files there, and readers may have pinned those versions.
+        """
         now = self.latest()
+        live: set[str] = set()
         for name in self.store.list("_log"):
-            if name.endswith(".json") and int(name.split(".")[0]) < now["version"]:
+            if not name.endswith(".json"):
+                continue
+            if int(name.split(".")[0]) < now["version"] and self.store.age(f"_log/{name}") >= min_age:
                 self.store.delete(f"_log/{name}")
-        live = {e["dir"] for s in now["schemas"].values() for t in s.values() for e in [*t["data"], *t["deletes"]]}
+                continue
+            with suppress(ValueError):
+                live |= _folders(json.loads(self.store.read(f"_log/{name}")))
         for name in self.store.list("data"):
-            if f"data/{name}" not in live:
+            if f"data/{name}" not in live and self.store.age(f"data/{name}") >= min_age:
                 self.store.delete(f"data/{name}")
 
 
@@ -158,6 +185,7 @@ class Connection:
 
     def __init__(self, db: Database) -> None:
         self.db, self.spark, self._txn = db, db.spark, None
+        self._tag = f"rowstrata-{uuid.uuid4().hex}"
 
     # transactions
     @property
@@ -199,17 +227,32 @@ class Connection:
     @contextmanager
     def _write(self):
         """The open transaction, or one that commits by itself."""
-        if self._txn:
-            yield self._txn
-            return
-        txn = self._new()
-        yield txn
-        self._commit(txn)
+        with self.jobs():
+            if self._txn:
+                yield self._txn
+                return
+            txn = self._new()
+            yield txn
+            self._commit(txn)
+
+    @contextmanager
+    def jobs(self):
+        """Jobs that start inside belong to this connection, so that ``interrupt`` stops them."""
+        context = self.spark.sparkContext
+        held = self._tag in context.getJobTags()
+        context.addJobTag(self._tag)
+        try:
+            yield self
+        finally:
+            if not held:
+                context.removeJobTag(self._tag)
 
     def _commit(self, txn: Transaction) -> None:
         while True:
             now = self.db.latest()
             state = txn.state if now["version"] == txn.base["version"] else self._rebase(txn, now)
+            if gone := [d for d in _folders(state) - _folders(now) if not self.db.store.exists(d)]:
+                raise DatabaseError(f"staged files are gone: {sorted(gone)}")
             if self.db.publish(copy.deepcopy(state), now["version"]):
                 return
 
@@ -410,7 +453,9 @@ class Connection:
         with self._write() as txn:
             t = self._table(txn.state, name)
             schema, table = new.split(".")
-            if table in txn.state["schemas"].get(schema, {}):
+            if schema not in txn.state["schemas"]:
+                raise DatabaseError(f"no schema {schema!r}{did_you_mean(schema, list(txn.state['schemas']))}")
+            if table in txn.state["schemas"][schema]:
                 raise DatabaseError(f"table {to!r} exists")
             old_schema, old = key.split(".")
             del txn.state["schemas"][old_schema][old]
@@ -447,6 +492,19 @@ class Connection:
             txn.touched.add(f"sequence:{name.lower()}")
             return value
 
+    def next_values(self, name: str, count: int) -> range:
+        """A block of ``count`` values, taken by one commit: shorter where the sequence ends, and never around a cycle's turn."""
+        with self._write() as txn:
+            s = txn.state["sequences"][name.lower()]
+            start, step = s["next"], s["increment"]
+            if s["cycle"] and not s["least"] <= start <= s["most"]:
+                start = s["least"] if step > 0 else s["most"]
+            left = ((s["most"] - start) // step if step > 0 else (start - s["least"]) // -step) + 1 if s["least"] <= start <= s["most"] else 0
+            got = range(start, start + step * min(count, left), step)
+            s["next"] = start + step * len(got)
+            txn.touched.add(f"sequence:{name.lower()}")
+            return got
+
     # rows
     def _folder(self) -> str:
         return f"data/{uuid.uuid4().hex}"
@@ -484,18 +542,18 @@ class Connection:
             body = body.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
             body.write.parquet(staged)
             body = self.spark.read.schema(body.schema).parquet(staged)
-            counts = {r[0]: r[1] for r in body.groupBy("__part").count().collect()}
-            total, starts = 0, []
-            for p in range(max(counts, default=-1) + 1):
-                starts.append(total)
-                total += counts.get(p, 0)
+            total = body.count()
             if not total:
                 self.db.store.delete(staged.removeprefix(f"{self.db.root}/"))
                 return 0
             folder = self._folder()
-            at = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("__part") + 1)
             seq = self._seq(txn)
-            body = body.withColumn(ROWID, at + F.col("__place") + t["next_rowid"]).drop("__part", "__place")
+            # a row per partition, however many rows there are
+            counts = body.groupBy(F.col("__part").alias("__of")).agg(F.count("*").alias("__n"))
+            prior = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+            starts = counts.select("__of", F.coalesce(F.sum("__n").over(prior), F.lit(0)).alias("__start"))
+            body = body.join(starts, F.col("__part") == F.col("__of"))
+            body = body.withColumn(ROWID, F.col("__start") + F.col("__place") + t["next_rowid"]).drop("__part", "__place", "__of", "__start", "__n")
             body.withColumn(SEQ, F.lit(seq).cast("long")).write.parquet(f"{self.db.root}/{folder}")
             self.db.store.delete(staged.removeprefix(f"{self.db.root}/"))
             self._add(txn, key, t, {"dir": folder, "kind": "insert", "rows": total}, seq)
@@ -633,4 +691,5 @@ class Connection:
         return [*t["data"], *t["deletes"]]
 
     def interrupt(self) -> None:
-        self.spark.sparkContext.cancelAllJobs()
+        """Stop the running jobs of this connection: its writes, and what runs inside ``jobs()``."""
+        self.spark.sparkContext.cancelJobsWithTag(self._tag)

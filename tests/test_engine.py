@@ -348,3 +348,69 @@ def test_sampled_scan(spark):
     assert 350 < n < 650
     with pytest.raises(ValueError):
         ScanRequest().sample(2)
+
+
+def test_vacuum_spares_open_work(spark):
+    con = scratch_database(spark).connect()
+    con.create_table("t", [("a", "INTEGER")])
+    con.insert("t", [(1,)])
+    reader = con.db.connect()
+    reader.begin()
+    con.begin()
+    con.insert("t", [(2,)])
+    con.db.vacuum()
+    con.commit()
+    assert con.scan("t").count() == 2 and reader.scan("t").count() == 1
+    con.begin()
+    con.insert("t", [(3,)])
+    con.db.vacuum(min_age=0)
+    with pytest.raises(DatabaseError, match="staged files are gone"):
+        con.commit()
+    assert con.scan("t").count() == 2
+
+
+def test_rename_into_a_missing_schema_changes_nothing(spark):
+    con = scratch_database(spark).connect()
+    con.create_table("t", [("a", "INTEGER")])
+    with con.transaction():
+        with pytest.raises(DatabaseError, match="no schema"):
+            con.rename_table("t", "nowhere.t")
+    assert con.tables() == ["t"]
+
+
+def test_many_ranges_are_pruned(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("rowid"), (F.col("id") / 2 % 2).cast("int").alias("x"))
+    zones = stats.zone_map(rows, ["x"], "rowid", 2)
+    got = stats.pruned_scan(rows, zones, FilterSet().push("x", Compare("=", 1)), "rowid", 2)
+    assert got.count() == 20_000
+
+
+def test_blocks_of_a_sequence(spark):
+    con = scratch_database(spark).connect()
+    con.create_sequence("s", start=3, increment=4, most=20)
+    assert list(con.next_values("s", 2)) == [3, 7] and con.next_value("s") == 11
+    assert list(con.next_values("s", 9)) == [15, 19] and list(con.next_values("s", 1)) == [] and con.next_value("s") is None
+
+
+def test_interrupt_stops_own_jobs_alone(spark):
+    import threading
+    import time
+
+    con, other = scratch_database(spark).connect(), scratch_database(spark).connect()
+    ended = {}
+
+    def work(name, c):
+        try:
+            with c.jobs():
+                ended[name] = spark.range(0, 60, 1, 2).select(F.sum(F.expr("aggregate(sequence(0, 3000000), 0L, (a, x) -> a + x + id)"))).count()
+        except Exception as e:
+            ended[name] = e
+
+    threads = [threading.Thread(target=work, args=a) for a in (("mine", con), ("other", other))]
+    for t in threads:
+        t.start()
+    time.sleep(1.5)
+    con.interrupt()
+    for t in threads:
+        t.join()
+    assert not isinstance(ended["other"], Exception)
