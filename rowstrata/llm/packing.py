@@ -14,6 +14,7 @@ table gives no windows.
 from __future__ import annotations
 
 import codecs
+import json
 import math
 import re
 import zlib
@@ -34,6 +35,8 @@ END_ID = 2
 GROUP_TOKENS = 8 << 20
 #: And so many pieces at most, on average, where documents are tiny.
 GROUP_PIECES = 100_000
+#: Bytes of texts that are split into words together.
+TOGETHER = 2 << 20
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 CACHE_WORDS = 600_000
 
@@ -54,18 +57,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def words_stand_alone(spec: dict) -> bool:
+    """Whether a tokenizer's ids are those of its words, in lower case, one after the other."""
+    normal, cut = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    normal, cut = normal.get("normalizers", [normal]), cut.get("pretokenizers", [cut])
+    lower = bool(normal) and normal[-1].get("type") == "Lowercase" and all(n.get("type") in ("NFC", "Replace", "Lowercase") for n in normal)
+    blanks = all(n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " " for n in normal if n.get("type") == "Replace")
+    first = cut[0] if cut else {}
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and r"[^\s" in str(first.get("pattern"))
+    model = spec.get("model", {})
+    return lower and blanks and split and [c.get("type") for c in cut[1:]] == ["ByteLevel"] and not cut[1].get("add_prefix_space") and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>"
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary never joins across ASCII white space (its pre-tokenizer
-    drops it), so the ids of a text are those of its words in a row. Words
-    repeat; each is encoded once and remembered.
+    A vocabulary of lower case that drops white space never joins across it, so the ids of a text are
+    those of its words in a row. Words repeat; each is encoded once and remembered. Any
+    other vocabulary, told by its normalizer and pre-tokenizer, encodes whole texts.
     """
 
     def __init__(self, path: str, size: int = CACHE_WORDS):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.size, self.known = Tokenizer.from_file(path), size, {}
+        self.by_word = words_stand_alone(json.loads(self.tokenizer.to_str()))
+        if not self.by_word:
+            return
         # the merges alone, for words that need no normalizing and no splitting
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -110,6 +128,10 @@ class WordEncoder:
         known.update((w, plain[letters] + known[marks] if marks else plain[letters]) for w, letters, marks in marked)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not self.by_word:
+            for text in texts:  # one at a time: long texts meet none of their like in memory
+                yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            return
         known, together = self.known, []
         for text in texts:
             # the vocabulary is of lower case; only the strings of special ids are not
@@ -152,14 +174,22 @@ def tokenize(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "do
         for batch in batches:
             kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             ids = batch["doc_id"].to_pylist()
-            for lo in range(0, len(ids), 500):
+            texts = batch["text"]
+            lo = 0
+            while lo < len(ids):
+                # so many texts together as hold TOGETHER bytes, or one
+                hi, size = lo + 1, len(texts[lo].as_buffer())
+                while hi < len(ids) and size + len(texts[hi].as_buffer()) <= TOGETHER:
+                    size += len(texts[hi].as_buffer())
+                    hi += 1
                 rows = []
-                for doc, body in zip(ids[lo : lo + 500], words.encode(t.as_py() for t in batch["text"][lo : lo + 500])):
+                for doc, body in zip(ids[lo:hi], words.encode(t.as_py() for t in texts[lo:hi])):
                     body += end
                     for at in range(0, len(body), width):
                         piece = body[at : at + width]
                         rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(body) // 4, piece)[: len(names)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                lo = hi
         words.known.clear()  # the worker lives on, for other work too
 
     return source.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
@@ -227,7 +257,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, group_tokens: int = GROUP_TOKE
     """
     total, count = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
     groups = max(1, math.ceil(total / group_tokens), math.ceil(count / GROUP_PIECES))
-    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
+    # the place of a row among the stored ones, too: repeated rows would all have one bin
+    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     columns = [f"{c} {t}" for c, t in pieces.dtypes]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -378,6 +378,23 @@ def test_word_encoder_equals_the_tokenizer():
     assert b"".join(small.encode([b"a b c d e", b"f g h"])) == b"".join(packing.WordEncoder(path).encode([b"a b c d e", b"f g h"]))
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_vocabulary_encodes_as_its_tokenizer(name):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path(name)
+    tokenizer, texts = Tokenizer.from_file(path), ["", "Plain Words, here.", " two  blanks\nand a line", "ÄÖ ünï İ ſ don't we'll 1234", "<|endoftext|> x", "\u3000wide\xa0blank"]
+    got = [np.frombuffer(i, "<u4").tolist() for i in packing.WordEncoder(path).encode([t.encode() for t in texts])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_equal_rows_fill_many_bins(spark):
+    docs = spark.createDataFrame([(7, "the same few words again")] * 3000, "doc_id long, text string")
+    got = packing.pack_documents(docs, group_tokens=4096).toPandas()
+    assert got["sequence_id"].floordiv(1 << 32).nunique() > 1 and len(got) == 3000
+    assert got.groupby("sequence_id")["length"].sum().max() <= 4096
+
+
 def test_packing_is_whole(spark):
     got = rows_of(packing.pack_documents(documents(spark), window=64, group_tokens=2000, with_ids=True))
     by_doc, by_seq = defaultdict(list), defaultdict(list)
