@@ -64,7 +64,7 @@ def words_stand_alone(spec: dict) -> bool:
     lower = bool(normal) and normal[-1].get("type") == "Lowercase" and all(n.get("type") in ("NFC", "Replace", "Lowercase") for n in normal)
     blanks = all(n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " " for n in normal if n.get("type") == "Replace")
     first = cut[0] if cut else {}
-    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and r"[^\s" in str(first.get("pattern"))
+    split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and r"[^\s" in (first.get("pattern") or {}).get("Regex", "")
     model = spec.get("model", {})
     return lower and blanks and split and [c.get("type") for c in cut[1:]] == ["ByteLevel"] and not cut[1].get("add_prefix_space") and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>"
 

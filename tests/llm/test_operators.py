@@ -384,7 +384,9 @@ def test_any_vocabulary_encodes_as_its_tokenizer(name):
 
     path = packing.tokenizer_path(name)
     tokenizer, texts = Tokenizer.from_file(path), ["", "Plain Words, here.", " two  blanks\nand a line", "ÄÖ ünï İ ſ don't we'll 1234", "<|endoftext|> x", "\u3000wide\xa0blank"]
-    got = [np.frombuffer(i, "<u4").tolist() for i in packing.WordEncoder(path).encode([t.encode() for t in texts])]
+    encoder = packing.WordEncoder(path)
+    assert encoder.by_word == (name == "word_bpe_49k.json")
+    got = [np.frombuffer(i, "<u4").tolist() for i in encoder.encode([t.encode() for t in texts])]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
