@@ -29,10 +29,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of this session; one of our own only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held or "file://" + tempfile.mkdtemp(prefix="rowstrata-checkpoint-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(root)
+        root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        root = "file://" + tempfile.mkdtemp(prefix="rowstrata-checkpoint-")
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 

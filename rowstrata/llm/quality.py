@@ -27,15 +27,16 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMS = 1 << 15
-#: Labelled documents that are learned from, at most.
+#: Labelled documents that are learned from, at most, and their characters.
 SAMPLE = 6000
+SAMPLE_CHARS = 64 << 20
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.3, 1e-5
 CACHE_WORDS = 400_000
 _RUN = re.compile(r"(.)\1+")
 
 
 def _shape(word: str) -> str:
-    return _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word))[:12]
+    return _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word))
 
 
 class Features:
@@ -135,12 +136,12 @@ def train(texts: Iterable[str], grades: list[int], epochs: int = EPOCHS) -> Mode
     return Model(weights, first + np.r_[0.0, np.cumsum(np.exp(steps))], levels)
 
 
-def learn(docs: DataFrame, ratings: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model | None:
-    """Train on at most ``sample`` rows of ratings (doc_id, grade), never on the held-out third."""
+def learn(docs: DataFrame, ratings: DataFrame, text_col: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model | None:
+    """Train on at most ``sample`` rows of ratings (doc_id, grade) and ``chars`` characters, never on the held-out third."""
     few = common.labelled_sample(ratings, "grade", sample).withColumnRenamed("doc_id", "__id")
     rows = docs.select("doc_id", common.text_or_empty(text_col).alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__id"))
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "grade")).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").select("r.text", "r.grade").collect()
-    return train((r["text"] for r in rows), [int(r["grade"]) for r in rows])
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "grade")).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").select("r.text", "r.grade")
+    return train(*common.bounded_texts(rows, chars))
 
 
 def score_column(model: Model, text: Column) -> Column:

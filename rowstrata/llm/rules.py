@@ -8,8 +8,9 @@ conditional. No Python runs on the executors.
 Defined results: a null text has no words and fails the base rules, as does any
 text under ten words; repeated rows are judged alike; labels that are null or
 missing are not learned from; without both kinds of label no rule is learned
-and the base rules decide; extra columns are carried through, and statistics get
-names that no input column has.
+and the base rules decide; extra columns are carried through; statistics are
+named with the prefix asked for, and replace columns that have such a name (an empty prefix
+replaces ``n_words`` and the like).
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ LEAST_WORDS = 10
 MOST_REPEATED = 0.2
 #: Labelled rows that are learned from, at most.
 SAMPLE = 20_000
-#: Cut points tried per statistic, conditions per rule, rules per list.
+#: Fit parameters: cut points tried per statistic, conditions per rule, rules per list. They bound the conditional's length;
+#: covering also ends where no rule is precise enough. At sf0.1 the list has fewer rules than the bound.
 CUTS, CONDITIONS, RULES = 64, 4, 12
 #: A rule must be so precise on the pruning rows, and hold for so many rows.
 PRECISION, SUPPORT = 0.95, 8
