@@ -99,9 +99,9 @@ _IDS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, row_number()
 _COLUMNS = [("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"), ("o_orderstatus", "VARCHAR"), ("o_totalprice", "DOUBLE")]
 
 
-def _orders(spark: SparkSession, d: str):
+def _orders(spark: SparkSession, d: str, **options):
     """A connection to a database of its own with all orders, in key order."""
-    con = scratch_database(spark).connect()
+    con = scratch_database(spark, **options).connect()
     con.create_table("orders", _COLUMNS)
     con.insert("orders", table(spark, d, "orders").select(*[c for c, _ in _COLUMNS]).orderBy("o_orderkey"))
     return con
@@ -386,6 +386,18 @@ def _(spark, d):
     return stats.table_stats(table(spark, d, "supplier"), _STATS_COLUMNS)
 
 
+@query("stats_stored", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS row_count, count({c}) AS value_count, min({c})::VARCHAR AS min_value, max({c})::VARCHAR AS max_value, true AS distinct_near FROM supplier" for c in _STATS_COLUMNS))
+def _(spark, d):
+    """Statistics that the insert stored, without a look at the rows; the estimates lie within 15 % of the exact counts."""
+    con = scratch_database(spark, zone_bits=6).connect()
+    con.create_table("s", [("s_suppkey", "BIGINT"), ("s_name", "VARCHAR"), ("s_nationkey", "BIGINT")])
+    con.insert("s", table(spark, d, "supplier").select(*_STATS_COLUMNS))
+    exact = con.scan("s").agg(*[F.count_distinct(c).alias(c) for c in _STATS_COLUMNS]).first()
+    wanted = F.create_map(*[F.lit(x) for c in _STATS_COLUMNS for x in (c, exact[c])])[F.col("column_name")]
+    near = F.abs(F.col("approx_distinct") - wanted) <= 0.15 * wanted
+    return con.statistics("s").withColumn("distinct_near", near).drop("approx_distinct")
+
+
 _SMALL_GROUP = 2048
 
 
@@ -395,14 +407,42 @@ def _(spark, d):
     return zones.select("rg", "row_count", F.col("o_orderkey.low").alias("low"), F.col("o_orderkey.high").alias("high"))
 
 
-@query("scan_pruned", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 3000 AND 5000 AND o_orderstatus = 'O'")
+_PRUNED = "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 3000 AND 5000 AND o_orderstatus = 'O'"
+#: Zones of 2 ** 11 rows, so that small tables have several.
+_SMALL_ZONES = 11
+
+
+@query("scan_pruned", _PRUNED)
+def _(spark, d):
+    """Zones are chosen by the statistics that the insert stored; only those are read."""
+    wanted = ScanRequest(["o_orderkey", "o_orderstatus"]).push_filter("o_orderkey", Compare(">=", 3000)).push_filter("o_orderkey", Compare("<=", 5000)).push_filter("o_orderstatus", Compare("=", "O"))
+    return _orders(spark, d, zone_bits=_SMALL_ZONES).scan("orders", wanted, pruned=True)
+
+
+@query("scan_pruned_on_demand", _PRUNED)
 def _(spark, d):
+    """The same by a zone map computed on the spot, for tables without stored statistics."""
     rows = _orders(spark, d).scan("orders", rowid=True)
     filters = FilterSet().push("o_orderkey", Compare(">=", 3000)).push("o_orderkey", Compare("<=", 5000)).push("o_orderstatus", Compare("=", "O"))
     zones = stats.zone_map(rows, ["o_orderkey", "o_orderstatus"], "rowid", _SMALL_GROUP)
     return stats.pruned_scan(rows, zones, filters, "rowid", _SMALL_GROUP).select("o_orderkey", "o_orderstatus")
 
 
+@query("topk_by_statistics", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 50 OFFSET 20")
+def _(spark, d):
+    """The order's first rows from the zones that can hold any of them."""
+    return _orders(spark, d, zone_bits=_SMALL_ZONES).top("orders", "o_orderkey", 50, 20, descending=True).select("o_orderkey", "o_totalprice")
+
+
+@query("auto_checkpoint", f"SELECT o_orderkey, rowid, 1 AS entries FROM ({_IDS}) WHERE o_orderstatus <> 'F'")
+def _(spark, d):
+    """A delete of half the table makes the commit checkpoint it."""
+    con = _orders(spark, d, checkpoint_after=1)
+    con.delete("orders", con.scan("orders", rowid=True).where("o_orderstatus = 'F'").select("rowid"))
+    entries = len(con.files("orders"))
+    return con.scan("orders", rowid=True).select("o_orderkey", "rowid", F.lit(entries).alias("entries"))
+
+
 @query("stats_merge", "SELECT count(*) AS row_count, min(o_orderkey) AS min_value, max(o_orderkey) AS max_value FROM orders")
 def _(spark, d):
     groups = stats.column_stats(table(spark, d, "orders"), "o_orderkey", ["o_orderpriority"])

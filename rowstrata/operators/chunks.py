@@ -21,6 +21,15 @@ def append(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.unionByName(other)
 
 
+def copy_rows(df: DataFrame, position: str, offset: int = 0, selection: DataFrame | None = None) -> DataFrame:
+    """Rows from ``offset`` on of a position column or, by a selection of (slot, position), a row for each slot from ``offset`` on."""
+    if selection is None:
+        return df.where(F.col(position) >= offset)
+    slot, wanted = selection.columns
+    chosen = selection.where(F.col(slot) >= offset).select(F.col(wanted).alias("__wanted"))
+    return df.join(chosen, F.col(position) == F.col("__wanted")).drop("__wanted")
+
+
 def split_columns(df: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
     return df.select(*df.columns[:at]), df.select(*df.columns[at:])
 

@@ -6,8 +6,9 @@ prune row groups. Everything is one aggregation with map-side partial sums.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +80,107 @@ def verdicts(zones: DataFrame, filters: FilterSet) -> dict[int, Verdict]:
     return out
 
 
+# ---- stored statistics: a row per zone of 2 ** bits positions, made when the files are written ----------
+
+#: Longer texts are no bounds: such a column has none in its zone.
+LONGEST_BOUND = 256
+#: Sketches of 2 ** 10 registers: a kilobyte, about 3 % off.
+SKETCH = 10
+
+
+def zones(df: DataFrame, columns: list[str], at: str, bits: int) -> DataFrame:
+    """(zone, rows, <column>: struct(low, high, values, sketch)) by the positions in column ``at``.
+
+    The files hold their rows by position, so a task meets few zones and keeps them in a hash table.
+    """
+    aggs = []
+    for n in columns:
+        c = F.col(n)
+        low, high = F.min(c), F.max(c)
+        if isinstance(df.schema[n].dataType, T.StringType):
+            short = F.octet_length(low) <= LONGEST_BOUND
+            short &= F.octet_length(high) <= LONGEST_BOUND
+            low, high = F.when(short, low), F.when(short, high)
+        sketch = F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(SKETCH))
+        aggs.append(F.struct(low.alias("low"), high.alias("high"), F.count(c).alias("values"), sketch.alias("sketch")).alias(n))
+    return df.groupBy(F.shiftright(at, bits).alias("zone")).agg(F.count("*").alias("rows"), *aggs)
+
+
+def zone_summary(stored: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Zones merged into a row per column, named by ``names``: counts, bounds as text, distinct estimate.
+
+    Bounds are NULL where a zone that holds values has none.
+    """
+    columns = [
+        F.struct(
+            F.lit(name).alias("column_name"),
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
+            F.coalesce(F.sum(f"{i}.values"), F.lit(0)).alias("value_count"),
+            *[F.when(~F.max((F.col(f"{i}.values") > 0) & F.col(f"{i}.low").isNull()), best(f"{i}.{end}")).cast("string").alias(f"{end}_value") for end, best in (("low", F.min), ("high", F.max))],
+            F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(f"{i}.sketch")), F.lit(0)).alias("approx_distinct"),
+        ).alias(i)
+        for i, name in names.items()
+    ]
+    merged = stored.agg(*columns).select(F.explode(F.array(*[F.col(i) for i in names])).alias("s"))
+    return merged.select("s.column_name", "s.row_count", "s.value_count", F.col("s.low_value").alias("min_value"), F.col("s.high_value").alias("max_value"), "s.approx_distinct")
+
+
+def zones_kept(stored: DataFrame, filters: FilterSet) -> DataFrame:
+    """The zones that may hold matching rows, judged by the tasks that read their statistics."""
+    names = [n for n, _ in filters if n in stored.columns]
+    flat = stored.select("zone", *[F.struct("rows", f"{n}.low", f"{n}.high", f"{n}.values").alias(n) for n in names])
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for row in b.to_dict("records"):
+                known = {n: ZoneStats(row[n]["low"], row[n]["high"], row[n]["values"] < row[n]["rows"], row[n]["values"] > 0) for n in names}
+                keep.append(filters.check(known) is not Verdict.NEVER)
+            yield b.loc[keep, ["zone"]]
+
+    return flat.mapInPandas(check, "zone long")
+
+
+def in_zones(df: DataFrame, kept: DataFrame, at: str, bits: int) -> DataFrame:
+    """The rows of the kept zones. Few zones become ranges, which reach the files; many are looked up within their span."""
+    few = sorted(r[0] for r in kept.limit(MOST_RANGES + 1).collect())
+    if len(few) <= MOST_RANGES:
+        return df.where(_any([F.col(at).between(a << bits, (b << bits) - 1) for a, b in _runs(few)]))
+    low, high = kept.agg(F.min("zone"), F.max("zone")).first()
+    df = df.where(F.col(at).between(low << bits, ((high + 1) << bits) - 1))
+    return df.join(kept.withColumnRenamed("zone", "__zone"), F.shiftright(at, bits) == F.col("__zone"), "left_semi")
+
+
+#: Zones that a bound on the first rows of an order is looked for in.
+BOUND_ZONES = 10_000
+
+
+def order_bound(stored: DataFrame, column: str, rows: int, descending: bool) -> object:
+    """A value that the first ``rows`` rows of the order all reach; None where the statistics name none.
+
+    Zones are taken by their farther end, best first, until they hold that many values.
+    """
+    end = F.col(f"{column}.low") if descending else F.col(f"{column}.high")
+    zones_ = stored.select(end.alias("end"), F.col(f"{column}.values").alias("n")).where("end IS NOT NULL")
+    seen = 0
+    for z in zones_.orderBy(F.desc("end") if descending else F.asc("end")).limit(min(rows, BOUND_ZONES)).collect():
+        seen += z["n"]
+        if seen >= rows:
+            return z["end"]
+    return None
+
+
+def _runs(numbers: list[int]) -> list[list[int]]:
+    """Sorted numbers as half-open runs."""
+    runs: list[list[int]] = []
+    for n in numbers:
+        if runs and runs[-1][1] == n:
+            runs[-1][1] = n + 1
+        else:
+            runs.append([n, n + 1])
+    return runs
+
+
 #: Ranges of row ids that are tested one by one; more are looked up.
 MOST_RANGES = 100
 
@@ -94,12 +196,7 @@ def _any(tests: list[Column]) -> Column:
 def pruned_scan(df: DataFrame, zones: DataFrame, filters: FilterSet, rowid: str = "__rowid", rows: int = ROW_GROUP) -> DataFrame:
     """The filtered rows of the row groups that may hold any, as ranges of row ids."""
     keep = sorted(rg for rg, v in verdicts(zones, filters).items() if v is not Verdict.NEVER)
-    ranges: list[list[int]] = []
-    for rg in keep:
-        if ranges and ranges[-1][1] == rg:
-            ranges[-1][1] = rg + 1
-        else:
-            ranges.append([rg, rg + 1])
+    ranges = _runs(keep)
     if len(ranges) <= MOST_RANGES:
         out = df.where(_any([F.col(rowid).between(a * rows, b * rows - 1) for a, b in ranges]))
     else:

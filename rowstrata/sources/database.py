@@ -3,7 +3,9 @@
 State lives in manifests: ``<root>/_log/<version>.json`` holds the whole catalog
 of one version, and a commit publishes the next by an exclusive create. Data
 files are immutable; rows carry a row id (insertion position) and the number of
-the commit that wrote them. A delete or an update writes the affected row ids,
+the commit that wrote them. Inserted files are written once: their rows hold a
+position (partition and place in it), and the manifest says at which row id each
+partition starts. Statistics of zones of positions lie beside the files. A delete or an update writes the affected row ids,
 and an update the new rows too; a scan drops rows that a later commit deleted.
 
 Columns have physical names of their own, so renaming, dropping and adding
@@ -12,6 +14,7 @@ columns rewrites nothing. Readers pin a version: they see one snapshot for good.
 
 from __future__ import annotations
 
+import bisect
 import copy
 import json
 import os
@@ -21,14 +24,22 @@ from collections.abc import Iterable, Mapping, Sequence
 from contextlib import contextmanager, suppress
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import stats
+from ..plans.filters import Compare, FilterSet
 from ..plans.scan import ScanRequest, did_you_mean
 from ..types import parse_type
 
-ROWID, SEQ = "__rowid", "__seq"
+ROWID, SEQ, POSITION = "__rowid", "__seq", "__position"
+#: A position is a partition's number and, in the low bits, a row's place in it.
+PLACE_BITS = 33
+#: Starts of more partitions go to a file of their own, so that manifests stay small.
+INLINE_STARTS = 64
+#: A zone of stored statistics has 2 ** 17 rows.
+ZONE_BITS = 17
 #: What is younger than a week may belong to open transactions and pinned readers.
 KEEP_SECONDS = 7 * 86400.0
 DEFAULT_SCHEMAS = ("main", "pg_catalog", "information_schema", "temp")
@@ -37,15 +48,40 @@ DEFAULT_SCHEMAS = ("main", "pg_catalog", "information_schema", "temp")
 _OWN = [T.StructField(ROWID, T.LongType()), T.StructField(SEQ, T.LongType())]
 
 
-def _alike(entries: Iterable[dict], *keys: str) -> list[tuple[tuple, list[str]]]:
-    """Folders of the entries that agree in ``keys``, with what they agree in."""
-    groups: dict[str, tuple[tuple, list[str]]] = {}
+def _alike(entries: Iterable[dict], *keys: str) -> list[tuple[tuple, list[dict]]]:
+    """The entries that agree in ``keys``, with what they agree in."""
+    groups: dict[str, tuple[tuple, list[dict]]] = {}
     for e in entries:
         values = tuple(e[k] for k in keys)
-        groups.setdefault(json.dumps(values, sort_keys=True), (values, []))[1].append(e["dir"])
+        groups.setdefault(json.dumps(values, sort_keys=True), (values, []))[1].append(e)
     return list(groups.values())
 
 
+class Starts:
+    """Row ids at which partitions start, by partition number from ``first`` on. Both grow together."""
+
+    def __init__(self, entries: Sequence[tuple[int, list[int]]]) -> None:
+        entries = sorted(entries)
+        self.first, self.ids = entries[0][0], []
+        for part, ids in entries:
+            self.ids += [ids[0]] * (part - self.first - len(self.ids)) + ids
+
+    def rowid(self) -> Column:
+        """A row's id by its position. The starts are one literal, however many there are."""
+        if len(self.ids) == 1:
+            return F.col(POSITION) + (self.ids[0] - (self.first << PLACE_BITS))
+        starts = F.split(F.lit(",".join(map(str, self.ids))), ",").cast("array<long>")
+        part = (F.shiftright(POSITION, PLACE_BITS) - self.first).cast("int")
+        return F.get(starts, part) + F.col(POSITION).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+
+    def position(self, rowid: int) -> int:
+        """Where a row id lies; one that no row has lies where no row is, between its neighbours."""
+        k = bisect.bisect_right(self.ids, rowid) - 1
+        if k < 0:
+            return (self.first << PLACE_BITS) - 1
+        return ((self.first + k) << PLACE_BITS) + min(rowid - self.ids[k], (1 << PLACE_BITS) - 1)
+
+
 class DatabaseError(Exception):
     pass
 
@@ -112,7 +148,8 @@ class Store:
 
 def _folders(state: dict) -> set[str]:
     """The data folders that a manifest names."""
-    return {e["dir"] for s in state["schemas"].values() for t in s.values() for e in [*t["data"], *t["deletes"]]}
+    entries = [e for s in state["schemas"].values() for t in s.values() for e in [*t["data"], *t["deletes"]]]
+    return {e[k] for e in entries for k in ("dir", "zones") if k in e}
 
 
 def _empty() -> dict:
@@ -129,10 +166,17 @@ class Transaction:
 
 
 class Database:
-    """Opens (or creates) the database under a root folder that all executors share."""
+    """Opens (or creates) the database under a root folder that all executors share.
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    ``checkpoint_after``: a table that more data and delete entries make up is checkpointed by the commit that
+    added the last, once the changes since its largest entry amount to half of that (so rewriting costs a constant
+    share of what was written). None leaves it to ``checkpoint``.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, zone_bits: int = ZONE_BITS, checkpoint_after: int | None = 32) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self.zone_bits, self.checkpoint_after = zone_bits, checkpoint_after
+        self._known: dict[str, list[int]] = {}
         self.store = Store(spark, self.root)
         if not self.store.list("_log"):
             self.store.create("_log/00000000.json", json.dumps(_empty()))
@@ -144,6 +188,14 @@ class Database:
                 return json.loads(self.store.read(f"_log/{name}"))
         raise DatabaseError("no whole manifest is left")
 
+    def starts(self, entry: dict) -> list[int]:
+        """Row ids at which the partitions of an insert start."""
+        if entry["starts"] is not None:
+            return entry["starts"]
+        if entry["dir"] not in self._known:
+            self._known[entry["dir"]] = json.loads(self.store.read(f"{entry['dir']}/_starts.json"))
+        return self._known[entry["dir"]]
+
     def connect(self) -> Connection:
         return Connection(self)
 
@@ -181,10 +233,14 @@ class Database:
 
 
 class Connection:
-    """A session on a database: autocommit, or begin / commit / rollback."""
+    """A session on a database: autocommit, or begin / commit / rollback.
+
+    With ``autocommit`` set to False, the first change begins a transaction that lasts until commit or rollback.
+    """
 
     def __init__(self, db: Database) -> None:
         self.db, self.spark, self._txn = db, db.spark, None
+        self.autocommit = True
         self._tag = f"rowstrata-{uuid.uuid4().hex}"
 
     # transactions
@@ -228,6 +284,8 @@ class Connection:
     def _write(self):
         """The open transaction, or one that commits by itself."""
         with self.jobs():
+            if not self._txn and not self.autocommit:
+                self.begin()
             if self._txn:
                 yield self._txn
                 return
@@ -254,7 +312,20 @@ class Connection:
             if gone := [d for d in _folders(state) - _folders(now) if not self.db.store.exists(d)]:
                 raise DatabaseError(f"staged files are gone: {sorted(gone)}")
             if self.db.publish(copy.deepcopy(state), now["version"]):
-                return
+                break
+        for key in sorted(txn.appended):
+            self._checkpoint_if_due(key)
+
+    def _checkpoint_if_due(self, key: str) -> None:
+        schema, table = key.split(".", 1)
+        t = self.db.latest()["schemas"].get(schema, {}).get(table)
+        entries = [*t["data"], *t["deletes"]] if t else []
+        if self.db.checkpoint_after is None or len(entries) <= self.db.checkpoint_after:
+            return
+        largest = max(e["rows"] for e in entries)
+        if 2 * (sum(e["rows"] for e in entries) - largest) >= largest:
+            with suppress(ConflictError):  # another commit came between; the next one will see to it
+                self.checkpoint(key)
 
     def _rebase(self, txn: Transaction, now: dict) -> dict:
         """The transaction's state on top of a newer version. First committer wins, per object and per row."""
@@ -285,6 +356,8 @@ class Connection:
             if theirs is None or theirs["columns"] != before["columns"]:
                 raise ConflictError(f"{key} was changed by another transaction")
             if key in txn.deleted:
+                if theirs.get("checkpoints") != before.get("checkpoints"):
+                    raise ConflictError(f"{key} was checkpointed by another transaction")
                 new = [e["dir"] for e in theirs["deletes"] if e not in before["deletes"]]
                 if new and self._ids(txn.deleted[key]).join(self._ids(new), ROWID, "left_semi").limit(1).count():
                     raise ConflictError(f"rows of {key} were changed by another transaction")
@@ -296,7 +369,9 @@ class Connection:
                 e = {**e, **moved, "seq_shift": e["seq_shift"] + state["next"] - e["seq"], "seq": state["next"]}
                 state["next"] += 1
                 theirs["deletes" if e["kind"] == "delete" else "data"].append(e)
-            theirs["next_rowid"] += txn.state["schemas"][schema][table]["next_rowid"] - before["next_rowid"]
+            mine = txn.state["schemas"][schema][table]
+            theirs["next_rowid"] += mine["next_rowid"] - before["next_rowid"]
+            theirs["next_part"] = max(theirs["next_part"], mine["next_part"])
         return state
 
     @staticmethod
@@ -369,7 +444,7 @@ class Connection:
                 if on_conflict != "replace":
                     raise DatabaseError(f"table {name!r} exists")
             defs = [{"id": f"c{i}", "name": c, "type": str(parse_type(t)), "default": None, "since": 0} for i, (c, t) in enumerate(columns)]
-            txn.state["schemas"][schema][table] = {"columns": defs, "data": [], "deletes": [], "next_rowid": 0, "next_column": len(defs), "alters": 0}
+            txn.state["schemas"][schema][table] = {"columns": defs, "data": [], "deletes": [], "next_rowid": 0, "next_part": 0, "next_column": len(defs), "alters": 0}
             txn.touched.add(f"table:{key}")
 
     def drop_table(self, name: str) -> None:
@@ -462,23 +537,58 @@ class Connection:
             txn.state["schemas"][schema][table] = t
             txn.touched |= {f"table:{key}", f"table:{new}"}
 
-    def create_view(self, name: str, sql: str) -> None:
+    def create_view(self, name: str, sql: str, on_conflict: str = "error") -> None:
+        """``on_conflict``: error, ignore or replace."""
         with self._write() as txn:
+            if name.lower() in txn.state["views"]:
+                if on_conflict == "ignore":
+                    return
+                if on_conflict != "replace":
+                    raise DatabaseError(f"view {name!r} exists")
             txn.state["views"][name.lower()] = sql
             txn.touched.add(f"view:{name.lower()}")
 
+    def drop_view(self, name: str) -> None:
+        self._drop("view", name)
+
+    def rename_view(self, name: str, to: str) -> None:
+        with self._write() as txn:
+            views = txn.state["views"]
+            if name.lower() not in views:
+                raise DatabaseError(f"no view {name!r}{did_you_mean(name, list(views))}")
+            if to.lower() in views:
+                raise DatabaseError(f"view {to!r} exists")
+            views[to.lower()] = views.pop(name.lower())
+            txn.touched |= {f"view:{name.lower()}", f"view:{to.lower()}"}
+
+    def views(self) -> dict[str, str]:
+        return dict(self._state["views"])
+
+    def _drop(self, kind: str, name: str) -> None:
+        with self._write() as txn:
+            entries = txn.state[f"{kind}s"]
+            if name.lower() not in entries:
+                raise DatabaseError(f"no {kind} {name!r}{did_you_mean(name, list(entries))}")
+            del entries[name.lower()]
+            txn.touched.add(f"{kind}:{name.lower()}")
+
     def view(self, name: str) -> DataFrame:
-        """A view's rows; its SQL sees the tables of this snapshot."""
-        for schema in ("main",):
-            for t in self._state["schemas"][schema]:
-                self.scan(t).createOrReplaceTempView(t)
-        return self.spark.sql(self._state["views"][name.lower()])
+        """A view's rows; its SQL sees the tables of main in this snapshot."""
+        views = self._state["views"]
+        if name.lower() not in views:
+            raise DatabaseError(f"no view {name!r}{did_you_mean(name, list(views))}")
+        for t in self._state["schemas"]["main"]:
+            self.scan(t).createOrReplaceTempView(t)
+        return self.spark.sql(views[name.lower()])
 
     def create_sequence(self, name: str, start: int = 1, increment: int = 1, least: int = 1, most: int = 2**63 - 1, cycle: bool = False) -> None:
         with self._write() as txn:
             txn.state["sequences"][name.lower()] = {"next": start, "increment": increment, "least": least, "most": most, "cycle": cycle}
             txn.touched.add(f"sequence:{name.lower()}")
 
+    def drop_sequence(self, name: str) -> None:
+        self._drop("sequence", name)
+
     def next_value(self, name: str) -> int | None:
         """The next value of a sequence; None when it is spent."""
         with self._write() as txn:
@@ -536,30 +646,41 @@ class Connection:
                 schema = T.StructType([T.StructField(c["name"], parse_type(c["type"]).spark()) for c in t["columns"]])
                 rows = self.spark.createDataFrame(list(rows), schema).coalesce(1)
             body = rows.select(*self._physical(t, rows))
-            # Written once with their places, then numbered from the files: two runs of a plan may
-            # partition its rows differently, as adaptive execution goes by the bytes of each run.
-            staged = f"{self.db.root}/{self._folder()}"
-            body = body.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-            body.write.parquet(staged)
-            body = self.spark.read.schema(body.schema).parquet(staged)
-            total = body.count()
+            folder, seq, first = self._folder(), self._seq(txn), t["next_part"]
+            position = F.monotonically_increasing_id() + F.lit(first << PLACE_BITS)
+            body.select("*", position.alias(POSITION), F.lit(seq).cast("long").alias(SEQ)).write.parquet(f"{self.db.root}/{folder}")
+            zones = self._measure(t, folder, POSITION)
+            # a row per partition, however many rows there are; counted in the files, as a second run of the plan may cut them otherwise
+            part = F.shiftright("zone", PLACE_BITS - self.db.zone_bits).cast("long")
+            counts = dict(tuple(r) for r in self._read(zones).groupBy(part).agg(F.sum("rows")).collect())
+            total = sum(counts.values())
             if not total:
-                self.db.store.delete(staged.removeprefix(f"{self.db.root}/"))
+                for gone in (folder, zones):
+                    self.db.store.delete(gone)
                 return 0
-            folder = self._folder()
-            seq = self._seq(txn)
-            # a row per partition, however many rows there are
-            counts = body.groupBy(F.col("__part").alias("__of")).agg(F.count("*").alias("__n"))
-            prior = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
-            starts = counts.select("__of", F.coalesce(F.sum("__n").over(prior), F.lit(0)).alias("__start"))
-            body = body.join(starts, F.col("__part") == F.col("__of"))
-            body = body.withColumn(ROWID, F.col("__start") + F.col("__place") + t["next_rowid"]).drop("__part", "__place", "__of", "__start", "__n")
-            body.withColumn(SEQ, F.lit(seq).cast("long")).write.parquet(f"{self.db.root}/{folder}")
-            self.db.store.delete(staged.removeprefix(f"{self.db.root}/"))
-            self._add(txn, key, t, {"dir": folder, "kind": "insert", "rows": total}, seq)
-            t["next_rowid"] += total
+            starts, t["next_part"] = [], max(counts) + 1
+            for p in range(first, t["next_part"]):
+                starts.append(t["next_rowid"])
+                t["next_rowid"] += counts.get(p, 0)
+            if len(starts) > INLINE_STARTS:
+                self.db.store.create(f"{folder}/_starts.json", json.dumps(starts))
+            entry = {"dir": folder, "kind": "insert", "at": POSITION, "rows": total, "zones": zones, "part": first}
+            self._add(txn, key, t, entry | {"starts": starts if len(starts) <= INLINE_STARTS else None}, seq)
             return total
 
+    def _read(self, *folders: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.db.root}/{d}" for d in folders])
+
+    def _measure(self, t: dict, folder: str, at: str) -> str:
+        """Write the statistics of a folder's zones, from one pass over its files."""
+        kinds = {c["id"]: parse_type(c["type"]).spark() for c in t["columns"]}
+        stored = T.StructType([*[T.StructField(i, k) for i, k in kinds.items()], T.StructField(at, T.LongType())])
+        df = self.spark.read.schema(stored).parquet(f"{self.db.root}/{folder}")
+        out = self._folder()
+        ordered = [i for i, k in kinds.items() if stats.has_order(k)]
+        stats.zones(df, ordered, at, self.db.zone_bits).write.parquet(f"{self.db.root}/{out}")
+        return out
+
     @staticmethod
     def _seq(txn: Transaction) -> int:
         txn.state["next"] += 1
@@ -571,23 +692,37 @@ class Connection:
         t["deletes" if entry["kind"] == "delete" else "data"].append(entry)
         txn.appended.setdefault(key, []).append(entry)
 
-    def _rows(self, t: dict) -> DataFrame:
-        """All visible rows with their row ids. Files of one kind are read by one scan, however many commits wrote them."""
+    def _rows(self, t: dict, ids: Sequence[int] | None = None, span: tuple[int, int] | None = None, filters: FilterSet | None = None) -> DataFrame:
+        """All visible rows with their row ids. Files of one kind are read by one scan, however many commits wrote them.
+
+        ``ids`` and ``span`` (first and last) choose rows by id; they reach the files as tests on positions.
+        ``filters`` leave out zones that can't hold matching rows; they don't filter rows.
+        """
         parts: DataFrame | None = None
-        for (types, alters, moved, later), folders in _alike(t["data"], "types", "alters", "rowid_shift", "seq_shift"):
+        for (types, alters, moved, later, at), entries in _alike(t["data"], "types", "alters", "rowid_shift", "seq_shift", "at"):
             columns = []
             for c in t["columns"]:
                 col = F.col(c["id"]) if c["id"] in types else F.lit(c["default"] if c["since"] > alters else None)
                 columns.append(col.cast(parse_type(c["type"]).spark()).alias(c["id"]))
-            stored = T.StructType([T.StructField(i, parse_type(k).spark()) for i, k in types.items()] + _OWN)
-            df = self.spark.read.schema(stored).parquet(*[f"{self.db.root}/{d}" for d in folders])
-            df = df.select(*columns, (F.col(ROWID) + moved).alias(ROWID), (F.col(SEQ) + later).alias(SEQ))
+            stored = T.StructType([*[T.StructField(i, parse_type(k).spark()) for i, k in types.items()], T.StructField(at, T.LongType()), T.StructField(SEQ, T.LongType())])
+            df = self.spark.read.schema(stored).parquet(*[f"{self.db.root}/{e['dir']}" for e in entries])
+            rowid, position = F.col(ROWID), int
+            if at == POSITION:
+                starts = Starts([(e["part"], self.db.starts(e)) for e in entries])
+                rowid, position = starts.rowid(), starts.position
+            if ids is not None:
+                df = df.where(F.col(at).isin(*[position(int(i) - moved) for i in ids]))
+            if span is not None:
+                df = df.where(F.col(at).between(*[position(int(i) - moved) for i in span]))
+            if filters is not None:
+                df = self._pruned(df, t, types, entries, at, filters)
+            df = df.select(*columns, (rowid + moved).alias(ROWID), (F.col(SEQ) + later).alias(SEQ))
             parts = df if parts is None else parts.unionByName(df)
         if parts is None:
             parts = self.spark.createDataFrame([], T.StructType([T.StructField(c["id"], parse_type(c["type"]).spark()) for c in t["columns"]] + _OWN))
         gone: DataFrame | None = None
-        for (later,), folders in _alike(t["deletes"], "seq_shift"):
-            d = self.spark.read.schema(T.StructType(_OWN)).parquet(*[f"{self.db.root}/{d}" for d in folders])
+        for (later,), entries in _alike(t["deletes"], "seq_shift"):
+            d = self.spark.read.schema(T.StructType(_OWN)).parquet(*[f"{self.db.root}/{e['dir']}" for e in entries])
             d = d.select(F.col(ROWID).alias("__gone"), (F.col(SEQ) + later).alias("__at"))
             gone = d if gone is None else gone.unionByName(d)
         if gone is not None:
@@ -595,24 +730,79 @@ class Connection:
             parts = parts.join(gone, (F.col(ROWID) == F.col("__gone")) & (F.col("__at") > F.col(SEQ)), "left_anti")
         return parts
 
-    def scan(self, table: str, request: ScanRequest | None = None, rowid: bool = False) -> DataFrame:
-        """The rows of this snapshot; ``rowid`` adds the virtual row id column."""
+    def _pruned(self, df: DataFrame, t: dict, types: dict, entries: Sequence[dict], at: str, filters: FilterSet) -> DataFrame:
+        """The rows of zones that may match. A column whose type has changed since prunes nothing."""
+        names = {c["name"].lower(): c["id"] for c in t["columns"] if types.get(c["id"]) == c["type"] and stats.has_order(parse_type(c["type"]).spark())}
+        known = FilterSet()
+        for name, f in filters:
+            if name.lower() in names:
+                known.push(names[name.lower()], f)
+        if not len(known):
+            return df
+        return stats.in_zones(df, stats.zones_kept(self._read(*[e["zones"] for e in entries]), known), at, self.db.zone_bits)
+
+    def statistics(self, table: str) -> DataFrame:
+        """A row per ordered column, from stored statistics alone: row_count, value_count, min_value, max_value, approx_distinct.
+
+        They cover stored rows: after deletes and updates, until a checkpoint, counts hold superseded rows too and
+        bounds may be wider than the visible rows. Columns added or retyped since the files were written, and
+        tables without rows, have no row here.
+        """
         t = self._table(self._state, table)
-        df = self._rows(t).select(*[F.col(c["id"]).alias(c["name"]) for c in t["columns"]], F.col(ROWID).alias("rowid"))
+        names = {c["id"]: c["name"] for c in t["columns"] if stats.has_order(parse_type(c["type"]).spark()) and all(e["types"].get(c["id"]) == c["type"] for e in t["data"])}
+        if not t["data"] or not names:
+            return self.spark.createDataFrame([], "column_name string, row_count long, value_count long, min_value string, max_value string, approx_distinct long")
+        parts: DataFrame | None = None
+        for _, entries in _alike(t["data"], "types"):
+            df = self._read(*[e["zones"] for e in entries]).select("rows", *names)
+            parts = df if parts is None else parts.unionByName(df)
+        return stats.zone_summary(parts, names)
+
+    def _named(self, t: dict, rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(c["id"]).alias(c["name"]) for c in t["columns"]], F.col(ROWID).alias("rowid"))
+
+    def scan(self, table: str, request: ScanRequest | None = None, rowid: bool = False, pruned: bool = False) -> DataFrame:
+        """The rows of this snapshot; ``rowid`` adds the virtual row id column.
+
+        ``pruned`` first asks the stored statistics which zones may hold rows that the request wants, and reads those alone.
+        """
+        t = self._table(self._state, table)
+        df = self._named(t, self._rows(t, filters=request.filters if pruned and request is not None else None))
         if request is not None:
             return request.apply(df if rowid or "rowid" in [f for f, _ in request.filters] or "rowid" in request.columns else df.drop("rowid"))
         return df if rowid else df.drop("rowid")
 
+    def top(self, table: str, column: str, limit: int, offset: int = 0, descending: bool = False) -> DataFrame:
+        """``limit`` rows after ``offset`` in the order of a column, NULLs last, ties by row id.
+
+        While no row has been deleted or updated, stored statistics bound what these rows hold, and zones and row
+        groups beyond the bound are not read.
+        """
+        t = self._table(self._state, table)
+        c = self._column(t, column)
+        bounded = not t["deletes"] and t["data"] and all(e["types"].get(c["id"]) == c["type"] for e in t["data"])
+        filters = None
+        if bounded and limit + offset > 0 and isinstance(parse_type(c["type"]).spark(), (T.NumericType, T.StringType, T.DateType)):
+            stored = self._read(*[e["zones"] for e in t["data"]]).select(c["id"])
+            if (bound := stats.order_bound(stored, c["id"], limit + offset, descending)) is not None:
+                filters = FilterSet().push(c["name"], Compare(">=" if descending else "<=", bound))
+        rows = self._rows(t, filters=filters)
+        if filters is not None:
+            rows = rows.where(filters.get(c["name"]).column(F.col(c["id"])))
+        order = F.col(c["id"]).desc_nulls_last() if descending else F.col(c["id"]).asc_nulls_last()
+        return self._named(t, rows.orderBy(order, ROWID).offset(offset).limit(limit)).drop("rowid")
+
     def fetch(self, table: str, rowids: Sequence[int] | DataFrame) -> DataFrame:
         """Rows by row id."""
-        df = self.scan(table, rowid=True)
         if isinstance(rowids, DataFrame):
-            return df.join(rowids.select(F.col(rowids.columns[0]).cast("long").alias("rowid")).distinct(), "rowid", "left_semi")
-        return df.where(F.col("rowid").isin(*rowids))
+            return self.scan(table, rowid=True).join(rowids.select(F.col(rowids.columns[0]).cast("long").alias("rowid")).distinct(), "rowid", "left_semi")
+        t = self._table(self._state, table)
+        return self._named(t, self._rows(t, ids=rowids))
 
     def scan_range(self, table: str, start: int, end: int) -> DataFrame:
         """Rows with start <= rowid < end."""
-        return self.scan(table, rowid=True).where(F.col("rowid").between(start, end - 1))
+        t = self._table(self._state, table)
+        return self._named(t, self._rows(t, span=(start, end - 1)))
 
     def _wanted(self, rowids: Sequence[int] | DataFrame) -> DataFrame:
         if isinstance(rowids, DataFrame):
@@ -660,7 +850,7 @@ class Connection:
             n.withColumn(SEQ, F.lit(before).cast("long")).write.parquet(f"{self.db.root}/{gone}")
             self._add(txn, key, t, {"dir": gone, "kind": "delete", "rows": found}, before)
             txn.deleted.setdefault(key, []).append(gone)
-            self._add(txn, key, t, {"dir": folder, "kind": "update", "rows": found}, after)
+            self._add(txn, key, t, {"dir": folder, "kind": "update", "at": ROWID, "rows": found, "zones": self._measure(t, folder, ROWID)}, after)
             return found
 
     def checkpoint(self, table: str) -> None:
@@ -670,8 +860,10 @@ class Connection:
             t = self._table(txn.state, table)
             folder, seq = self._folder(), self._seq(txn)
             self._rows(t).withColumn(SEQ, F.lit(seq).cast("long")).write.parquet(f"{self.db.root}/{folder}")
-            t["data"], t["deletes"] = [], []
-            self._add(txn, key, t, {"dir": folder, "kind": "compact"}, seq)
+            t["data"], t["deletes"], t["checkpoints"] = [], [], t.get("checkpoints", 0) + 1
+            zones = self._measure(t, folder, ROWID)
+            rows = self._read(zones).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+            self._add(txn, key, t, {"dir": folder, "kind": "compact", "at": ROWID, "rows": rows, "zones": zones}, seq)
             txn.touched.add(f"table:{key}")
 
     def copy_from(self, table: str, path: str, format: str = "parquet", **options) -> int:

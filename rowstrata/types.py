@@ -126,3 +126,20 @@ def show_value(value: object) -> str:
     if isinstance(value, (list, tuple)):
         return "[" + ", ".join(map(show_value, value)) + "]"
     return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def show_rows(columns: list[str], rows: list, most: int = 12, width: int = 40) -> str:
+    """Rows as a table of text: numbers to the right, long cells cut, the middle of many rows left out."""
+    shown = rows if len(rows) <= most else [*rows[: most // 2], *rows[len(rows) - (most - most // 2) :]]
+    cut = lambda text: text if len(text) <= width else text[: width - 3] + "..."
+    cells = [[cut(show_value(v).replace("\n", " ")) for v in r] for r in shown]
+    widths = [max([3, len(c[:width]), *[len(r[i]) for r in cells]]) for i, c in enumerate(columns)]
+    right = [bool(shown) and all(r[i] is None or isinstance(r[i], (int, float)) and not isinstance(r[i], bool) for r in shown) for i in range(len(columns))]
+    line = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
+    out = [line, "|" + "|".join(f" {cut(c):<{w}} " for c, w in zip(columns, widths, strict=True)) + "|", line]
+    for r in cells:
+        out.append("|" + "|".join(f" {v:>{w}} " if to_right else f" {v:<{w}} " for v, w, to_right in zip(r, widths, right, strict=True)) + "|")
+    out.append(line)
+    if len(rows) > most:
+        out.append(f"... {len(rows) - most} rows left out ...")
+    return "\n".join([*out, f"({len(rows)} rows)"])

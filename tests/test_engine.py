@@ -414,3 +414,165 @@ def test_interrupt_stops_own_jobs_alone(spark):
     for t in threads:
         t.join()
     assert not isinstance(ended["other"], Exception)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inserts_of_many_partitions_are_numbered_gapless(spark, monkeypatch):
+    from rowstrata.sources import database
+
+    monkeypatch.setattr(database, "INLINE_STARTS", 3)  # starts go to a file of their own
+    con = scratch_database(spark, zone_bits=4).connect()
+    con.create_table("t", [("a", "BIGINT")])
+    rows = spark.range(0, 1000, 1, 7).select(F.col("id").alias("a")).where("a % 3 <> 0 AND NOT a BETWEEN 150 AND 420")
+    n = con.insert("t", rows)
+    assert con.insert("t", rows.where("a < 0")) == 0
+    assert con.insert("t", rows) == n
+    got = con.scan("t", rowid=True).orderBy("rowid").collect()
+    want = [r["a"] for r in rows.collect()]
+    assert [r["rowid"] for r in got] == list(range(2 * n)) and [r["a"] for r in got] == 2 * want
+    for a, b in ((0, 1), (n - 3, n + 4), (2 * n - 1, 2 * n + 9), (5, 5), (-4, 2)):
+        assert sorted(r["rowid"] for r in con.scan_range("t", a, b).collect()) == list(range(max(a, 0), min(b, 2 * n)))
+    ids = [-1, 0, 1, n - 1, n, 2 * n - 1, 2 * n, 2**40]
+    assert sorted((r["rowid"], r["a"]) for r in con.fetch("t", ids).collect()) == [(i, (2 * want)[i]) for i in ids[1:-2]]
+    assert "PushedFilters: [IsNotNull(__position)" in _plan(con.scan_range("t", 10, 20))
+    con.delete("t", [0, n])
+    con.update("t", spark.createDataFrame([(1, -5)], "rowid long, a long"))
+    con.checkpoint("t")
+    con.insert("t", rows)
+    got = con.scan("t", rowid=True).orderBy("rowid").collect()
+    assert [r["rowid"] for r in got] == [i for i in range(3 * n) if i not in (0, n)]
+    assert [r["a"] for r in got][:2] == [-5, want[2]] and [r["a"] for r in got][-n:] == want
+
+
+def test_inserts_of_two_transactions_keep_their_numbers_apart(spark):
+    con = scratch_database(spark).connect()
+    con.create_table("t", [("a", "BIGINT")])
+    others = [con.db.connect() for _ in range(3)]
+    for i, c in enumerate(others):
+        c.begin()
+        c.insert("t", spark.range(i * 100, i * 100 + 10, 1, 3).select(F.col("id").alias("a")))
+    for c in others:
+        c.commit()
+    con.insert("t", spark.range(900, 905, 1, 2).select(F.col("id").alias("a")))
+    got = [(r["rowid"], r["a"]) for r in con.scan("t", rowid=True).orderBy("rowid").collect()]
+    assert got == list(enumerate([*range(10), *range(100, 110), *range(200, 210), *range(900, 905)]))
+    assert [r["a"] for r in con.fetch("t", [12]).collect()] == [102]
+
+
+KINDS = {"DOUBLE": [1.5, float("nan"), -2.0, None], "VARCHAR": ["a", "é" * 300, "", None], "DATE": [None, None, None, None], "DECIMAL(10,2)": ["1.25", "-3", None, "7"], "BOOLEAN": [True, None, False, True], "BIGINT": [2**62, -5, 0, None], "TIMESTAMP": [None, "2020-01-02 03:04:05", "1969-01-01 00:00:00", None]}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_pruned_scans_lose_nothing(spark, kind):
+    """Against plain scans, over zones of two rows, with changed rows and a column added later."""
+    con = scratch_database(spark, zone_bits=1).connect()
+    con.create_table("t", [("k", "BIGINT"), ("v", kind)])
+    rows = spark.createDataFrame([(i, None if v is None else str(v).lower() if kind == "BOOLEAN" else str(v)) for i, v in enumerate(KINDS[kind] * 3)], "k long, v string").coalesce(2)
+    con.insert("t", rows.withColumn("v", F.col("v").cast(parse_type(kind).spark())))
+    con.update("t", con.scan("t", rowid=True).where("k % 5 = 0").select("rowid", (F.col("k") + 100).alias("k")))
+    con.delete("t", [2])
+    con.add_column("t", "w", "INTEGER", default=4)
+    values = [r["v"] for r in con.scan("t").select("v").distinct().collect() if r["v"] is not None]
+    filters = [Compare(op, v) for op in ("=", "!=", ">", ">=", "<", "<=") for v in values[:2]] + [IsNull(), IsNotNull()]
+    for f in filters:
+        want = sorted(r["k"] for r in con.scan("t", ScanRequest(["k"]).push_filter("v", f)).collect())
+        got = con.scan("t", ScanRequest(["k"]).push_filter("V", f).push_filter("w", Compare("=", 4)), pruned=True)
+        assert sorted(r["k"] for r in got.collect()) == want, f
+    assert con.scan("t", ScanRequest(["k"]).push_filter("w", Compare("=", 5)), pruned=True).count() == 0
+    con.alter_type("t", "v", "VARCHAR")
+    assert con.scan("t", ScanRequest(["k"]).push_filter("v", IsNotNull()), pruned=True).count() == con.scan("t").where("v IS NOT NULL").count()
+
+
+def test_pruned_scans_of_many_zones(spark):
+    con = scratch_database(spark, zone_bits=1).connect()
+    con.create_table("t", [("a", "BIGINT"), ("b", "INTEGER")])
+    con.insert("t", spark.range(0, 4000, 1, 1).select(F.col("id").alias("a"), (F.col("id") / 2 % 2).cast("int").alias("b")))
+    many = con.scan("t", ScanRequest(["a"]).push_filter("b", Compare("=", 1)), pruned=True)
+    assert many.count() == 2000 and "LeftSemi" in _plan(many)
+    few = con.scan("t", ScanRequest(["a"]).push_filter("a", Compare(">", 3990)), pruned=True)
+    assert few.count() == 9 and "GreaterThanOrEqual(__position,3990)" in _plan(few)
+
+
+def test_first_rows_by_statistics(spark):
+    con = scratch_database(spark, zone_bits=2).connect()
+    con.create_table("t", [("a", "DOUBLE"), ("b", "BIGINT")])
+    values = [None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(i // 3) for i in range(100)]
+    con.insert("t", spark.createDataFrame(list(zip(values, range(100), strict=True)), "a double, b long").coalesce(1))
+    rank = lambda i, sign: (values[i] is None, sign * (1e9 if values[i] is not None and values[i] != values[i] else values[i] or 0), i)
+
+    def agrees(gone=()):
+        for sign in (1, -1):
+            want = sorted(set(range(100)) - set(gone), key=lambda i: rank(i, sign))
+            for limit, offset in ((5, 0), (7, 20), (10, 85), (0, 3), (200, 0)):
+                assert [r["b"] for r in con.top("t", "A", limit, offset, sign < 0).collect()] == want[offset : offset + limit]
+
+    agrees()
+    assert "GreaterThanOrEqual(__position,0)" in _plan(con.top("t", "b", 5))
+    con.delete("t", [3, 99])
+    agrees([3, 99])
+
+
+def test_stored_statistics(spark):
+    con = scratch_database(spark, zone_bits=1).connect()
+    con.create_table("t", [("a", "BIGINT"), ("s", "VARCHAR"), ("l", "LIST(INTEGER)")])
+    assert con.statistics("t").count() == 0
+    con.insert("t", [(1, "x" * 300, [1]), (None, "y", None), (3, None, []), (3, "z", [2])])
+    got = {r["column_name"]: tuple(r)[1:] for r in con.statistics("t").collect()}
+    assert got == {"a": (4, 3, "1", "3", 2), "s": (4, 3, None, None, 3)}  # a long text is no bound
+    con.delete("t", [0, 1])
+    con.checkpoint("t")
+    assert {r["column_name"]: tuple(r)[1:] for r in con.statistics("t").collect()} == {"a": (2, 2, "3", "3", 1), "s": (2, 1, "z", "z", 1)}
+
+
+def test_checkpoints_come_by_themselves_and_conflict_with_changes(spark):
+    con = scratch_database(spark, checkpoint_after=3).connect()
+    con.create_table("t", [("a", "INTEGER")])
+    other = con.db.connect()
+    con.insert("t", [(i,) for i in range(8)])
+    con.insert("t", [(8,)])
+    con.insert("t", [(9,)])
+    other.begin()
+    other.update("t", spark.createDataFrame([(0, 50)], "rowid long, a int"))
+    con.delete("t", [0])
+    assert len(con.files("t")) == 4  # few changes beside eight rows
+    con.delete("t", [1])
+    assert [f["kind"] for f in con.files("t")] == ["compact"]
+    with pytest.raises(ConflictError, match="checkpointed"):
+        other.commit()
+    assert sorted(r["a"] for r in con.scan("t").collect()) == list(range(2, 10))
+
+
+def test_views_sequences_and_autocommit(spark):
+    con = _accounts(spark)
+    con.create_view("rich", "SELECT id FROM accounts WHERE balance > 300")
+    with pytest.raises(DatabaseError, match="exists"):
+        con.create_view("rich", "SELECT 1")
+    con.rename_view("rich", "richer")
+    con.create_sequence("s")
+    con.drop_sequence("s")
+    assert list(con.views()) == ["richer"] and con.view("richer").count() == 2
+    con.drop_view("richer")
+    for missing in (lambda: con.view("richer"), lambda: con.drop_view("richer"), lambda: con.drop_sequence("s")):
+        with pytest.raises(DatabaseError, match="no (view|sequence)"):
+            missing()
+    con.autocommit = False
+    con.insert("accounts", [(9, 1, True)])
+    assert con.in_transaction and 9 in _ids(con) and 9 not in _ids(con.db.connect())
+    con.rollback()
+    assert 9 not in _ids(con)
+
+
+def test_copies_and_shown_rows(spark):
+    from rowstrata.operators import chunks
+    from rowstrata.types import show_rows
+
+    df = spark.createDataFrame([(i, chr(97 + i)) for i in range(5)], "at long, v string")
+    assert sorted(r["v"] for r in chunks.copy_rows(df, "at", 3).collect()) == ["d", "e"]
+    chosen = spark.createDataFrame([(0, 4), (1, 2), (2, 2), (3, 9)], "slot long, pick long")
+    assert sorted(r["v"] for r in chunks.copy_rows(df, "at", 1, chosen).collect()) == ["c", "c"]
+    text = show_rows(["id", "name"], [(i, None if i else "x" * 50) for i in range(20)]).splitlines()
+    assert text[3] == "|   0 | " + "x" * 37 + "... |" and len(text) == 18 and text[-2:] == ["... 8 rows left out ...", "(20 rows)"]
+    assert show_rows(["a"], []).splitlines()[-1] == "(0 rows)"
