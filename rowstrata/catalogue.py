@@ -434,11 +434,11 @@ def _(spark, d):
     return _orders(spark, d, zone_bits=_SMALL_ZONES).top("orders", "o_orderkey", 50, 20, descending=True).select("o_orderkey", "o_totalprice")
 
 
-@query("auto_checkpoint", f"SELECT o_orderkey, rowid, 1 AS entries FROM ({_IDS}) WHERE o_orderstatus <> 'F'")
+@query("auto_checkpoint", f"SELECT o_orderkey, rowid, 1 AS entries FROM ({_IDS}) WHERE o_orderstatus = 'F'")
 def _(spark, d):
-    """A delete of half the table makes the commit checkpoint it."""
+    """A delete of most of the table makes the commit checkpoint it."""
     con = _orders(spark, d, checkpoint_after=1)
-    con.delete("orders", con.scan("orders", rowid=True).where("o_orderstatus = 'F'").select("rowid"))
+    con.delete("orders", con.scan("orders", rowid=True).where("o_orderstatus <> 'F'").select("rowid"))
     entries = len(con.files("orders"))
     return con.scan("orders", rowid=True).select("o_orderkey", "rowid", F.lit(entries).alias("entries"))
 

@@ -6,14 +6,13 @@ prune row groups. Everything is one aggregation with map-side partial sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.filters import FilterSet, Verdict, ZoneStats
+from ..plans.filters import FilterSet, Verdict, ZoneColumns, ZoneStats
 
 ROW_GROUP = 122_880
 PREFIX = 8
@@ -126,19 +125,11 @@ def zone_summary(stored: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 
 def zones_kept(stored: DataFrame, filters: FilterSet) -> DataFrame:
-    """The zones that may hold matching rows, judged by the tasks that read their statistics."""
-    names = [n for n, _ in filters if n in stored.columns]
-    flat = stored.select("zone", *[F.struct("rows", f"{n}.low", f"{n}.high", f"{n}.values").alias(n) for n in names])
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for row in b.to_dict("records"):
-                known = {n: ZoneStats(row[n]["low"], row[n]["high"], row[n]["values"] < row[n]["rows"], row[n]["values"] > 0) for n in names}
-                keep.append(filters.check(known) is not Verdict.NEVER)
-            yield b.loc[keep, ["zone"]]
-
-    return flat.mapInPandas(check, "zone long")
+    """The zones that may hold matching rows."""
+    for name, f in filters:
+        kind = stored.schema[name].dataType["low"].dataType
+        stored = stored.where(f.may(ZoneColumns(*[F.col(f"{name}.{s}") for s in ("low", "high", "values")], F.col("rows"), kind)))
+    return stored.select("zone")
 
 
 def in_zones(df: DataFrame, kept: DataFrame, at: str, bits: int) -> DataFrame:

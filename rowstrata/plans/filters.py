@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Verdict(enum.Enum):
@@ -65,10 +66,31 @@ def _comparable(stats: ZoneStats, value: object) -> bool:
     return known and _kind(stats.low) is _kind(value) and not any(isinstance(x, float) and x != x for x in (stats.low, stats.high, value))
 
 
+@dataclass(frozen=True)
+class ZoneColumns:
+    """Stored statistics of one column as columns, a row per zone. Bounds are NULL where none are known."""
+
+    low: Column
+    high: Column
+    values: Column
+    rows: Column
+    kind: T.DataType
+
+    def bounds(self, value: object) -> bool:
+        """Whether values of this Python type order as the stored ones do."""
+        if _number(value):
+            return isinstance(self.kind, T.NumericType)
+        return isinstance(self.kind, {str: T.StringType, datetime.date: T.DateType, bool: T.BooleanType}.get(type(value), ()))
+
+
 class Filter:
     def column(self, col: Column) -> Column:
         raise NotImplementedError
 
+    def may(self, zone: ZoneColumns) -> Column:
+        """Whether a zone may hold a row that matches; where nothing tells, true."""
+        return F.lit(True)
+
     def sql(self, name: str) -> str:
         raise NotImplementedError
 
@@ -96,6 +118,13 @@ class Compare(Filter):
         v = F.lit(self.value)
         return {"=": col == v, "!=": col != v, ">": col > v, ">=": col >= v, "<": col < v, "<=": col <= v}[self.op]
 
+    def may(self, zone: ZoneColumns) -> Column:
+        if not zone.bounds(self.value):
+            return zone.values > 0
+        low, high, v = zone.low, zone.high, F.lit(self.value)
+        got = {"=": (low <= v) & (high >= v), "!=": ~((low == v) & (high == v)), ">": high > v, ">=": high >= v, "<": low < v, "<=": low <= v}[self.op]
+        return (zone.values > 0) & F.coalesce(got, F.lit(True))
+
     def sql(self, name: str) -> str:
         return f"{name} {'<>' if self.op == '!=' else self.op} {literal(self.value)}"
 
@@ -128,6 +157,9 @@ class In(Filter):
     def column(self, col: Column) -> Column:
         return col.isin(*self.values)
 
+    def may(self, zone: ZoneColumns) -> Column:
+        return Or(tuple(Compare("=", v) for v in self.values)).may(zone)
+
     def sql(self, name: str) -> str:
         return f"{name} IN ({', '.join(map(literal, self.values))})"
 
@@ -140,6 +172,9 @@ class IsNull(Filter):
     def column(self, col: Column) -> Column:
         return col.isNull()
 
+    def may(self, zone: ZoneColumns) -> Column:
+        return zone.values < zone.rows
+
     def sql(self, name: str) -> str:
         return f"{name} IS NULL"
 
@@ -152,6 +187,9 @@ class IsNotNull(Filter):
     def column(self, col: Column) -> Column:
         return col.isNotNull()
 
+    def may(self, zone: ZoneColumns) -> Column:
+        return zone.values > 0
+
     def sql(self, name: str) -> str:
         return f"{name} IS NOT NULL"
 
@@ -169,6 +207,12 @@ class And(Filter):
             out = out & p.column(col)
         return out
 
+    def may(self, zone: ZoneColumns) -> Column:
+        out = self.parts[0].may(zone)
+        for p in self.parts[1:]:
+            out = out & p.may(zone)
+        return out
+
     def sql(self, name: str) -> str:
         return "(" + " AND ".join(p.sql(name) for p in self.parts) + ")"
 
@@ -187,6 +231,12 @@ class Or(Filter):
             out = out | p.column(col)
         return out
 
+    def may(self, zone: ZoneColumns) -> Column:
+        out = self.parts[0].may(zone)
+        for p in self.parts[1:]:
+            out = out | p.may(zone)
+        return out
+
     def sql(self, name: str) -> str:
         return "(" + " OR ".join(p.sql(name) for p in self.parts) + ")"
 
@@ -222,6 +272,12 @@ class Prefix(Filter):
     def column(self, col: Column) -> Column:
         return col.startswith(self.text)
 
+    def may(self, zone: ZoneColumns) -> Column:
+        if not zone.bounds(self.text):
+            return zone.values > 0
+        got = (zone.high >= self.text) & (F.substring(zone.low, 1, len(self.text)) <= self.text)
+        return (zone.values > 0) & F.coalesce(got, F.lit(True))
+
     def sql(self, name: str) -> str:
         return f"starts_with({name}, {literal(self.text)})"
 

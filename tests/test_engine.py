@@ -462,7 +462,7 @@ def test_inserts_of_two_transactions_keep_their_numbers_apart(spark):
     assert [r["a"] for r in con.fetch("t", [12]).collect()] == [102]
 
 
-KINDS = {"DOUBLE": [1.5, float("nan"), -2.0, None], "VARCHAR": ["a", "é" * 300, "", None], "DATE": [None, None, None, None], "DECIMAL(10,2)": ["1.25", "-3", None, "7"], "BOOLEAN": [True, None, False, True], "BIGINT": [2**62, -5, 0, None], "TIMESTAMP": [None, "2020-01-02 03:04:05", "1969-01-01 00:00:00", None]}
+KINDS = {"DOUBLE": [1.5, float("nan"), -2.0, None], "VARCHAR": ["a", "é" * 300, "", None], "DATE": ["2020-01-02", None, "1999-12-31", "1999-12-31"], "INTEGER": [None, None, None, None], "DECIMAL(10,2)": ["1.25", "-3", None, "7"], "BOOLEAN": [True, None, False, True], "BIGINT": [2**62, -5, 0, None], "TIMESTAMP": [None, "2020-01-02 03:04:05", "1969-01-01 00:00:00", None]}
 
 
 @pytest.mark.parametrize("kind", KINDS)
@@ -476,7 +476,8 @@ def test_pruned_scans_lose_nothing(spark, kind):
     con.delete("t", [2])
     con.add_column("t", "w", "INTEGER", default=4)
     values = [r["v"] for r in con.scan("t").select("v").distinct().collect() if r["v"] is not None]
-    filters = [Compare(op, v) for op in ("=", "!=", ">", ">=", "<", "<=") for v in values[:2]] + [IsNull(), IsNotNull()]
+    filters = [Compare(op, v) for op in ("=", "!=", ">", ">=", "<", "<=") for v in values[:1]] + [IsNull(), IsNotNull()]
+    filters += [Or((Compare("=", v), IsNull())) for v in values[:1]] + ([In(values[:2])] if values else []) + [Prefix(p) for p in ("", "a", "é", "b") if kind == "VARCHAR"]
     for f in filters:
         want = sorted(r["k"] for r in con.scan("t", ScanRequest(["k"]).push_filter("v", f)).collect())
         got = con.scan("t", ScanRequest(["k"]).push_filter("V", f).push_filter("w", Compare("=", 4)), pruned=True)
@@ -576,3 +577,21 @@ def test_copies_and_shown_rows(spark):
     text = show_rows(["id", "name"], [(i, None if i else "x" * 50) for i in range(20)]).splitlines()
     assert text[3] == "|   0 | " + "x" * 37 + "... |" and len(text) == 18 and text[-2:] == ["... 8 rows left out ...", "(20 rows)"]
     assert show_rows(["a"], []).splitlines()[-1] == "(0 rows)"
+
+
+@pytest.mark.parametrize("stretches", [1, 2, 64])
+def test_asof_join_of_a_hot_key(spark, stretches):
+    from rowstrata.operators.joins import asof_join
+
+    rng = random.Random(5)
+    some = lambda n: [(i, None if rng.random() < 0.05 else "hot" if rng.random() < 0.7 else rng.choice("abc"), None if rng.random() < 0.05 else rng.randrange(60)) for i in range(n)]
+    left = some(300)
+    right = [(k, t, None if rng.random() < 0.1 else i) for i, k, t in some(120)]
+    got = asof_join(spark.createDataFrame(left, "id long, k string, t long"), spark.createDataFrame(right, "k string, t long, v long"), "k", "t", "v", stretches)
+    assert sorted(got.columns) == ["id", "k", "t", "v"]
+
+    def want(k, t):
+        found = [(rt, rv) for rk, rt, rv in right if rk == k is not None and t is not None and rt is not None and rt <= t and rv is not None]
+        return max(found)[1] if found else None
+
+    assert {r["id"]: r["v"] for r in got.collect()} == {i: want(k, t) for i, k, t in left} and got.count() == 300
