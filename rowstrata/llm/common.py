@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,11 +74,14 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: the work before it runs once, and a lost executor
-    costs a reread instead of a recomputation.
+    costs a reread instead of a recomputation. The driver then collects its garbage,
+    for only so does Spark drop the shuffle files of that work, and the heap that its
+    plans and tasks had grown shrinks again instead of adding up over many writes.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -147,8 +151,13 @@ def bounded_texts(rows: DataFrame, chars: int) -> tuple[list[str], list[int]]:
 
     Rows come partition by partition, so the driver never holds more than the bound and one partition.
     """
+    return first_texts(rows.toLocalIterator(), chars)
+
+
+def first_texts(rows: Iterable[tuple[str, object]], chars: int) -> tuple[list[str], list[int]]:
+    """The texts and labels of (text, label) pairs in their order, until so many characters are held."""
     texts, labels, held = [], [], 0
-    for text, label in rows.toLocalIterator():
+    for text, label in rows:
         held += len(text)
         if texts and held > chars:
             break

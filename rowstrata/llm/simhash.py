@@ -217,8 +217,7 @@ def components(edges: DataFrame, label: str = "star") -> DataFrame:
     before they are joined to the edges of a hub.
     """
     edges = common.store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
-    seen = None
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -226,10 +225,17 @@ def components(edges: DataFrame, label: str = "star") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = common.store(small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), label)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether the distinct edges (a, b), a > b, are stars around their smallest nodes: no node is below two, or below one and above another.
+
+    Each partial count has a row per node and task at most, so a hub costs no task more than others.
+    """
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("below")), F.struct(F.col("b").alias("node"), F.lit(0).alias("below")))).alias("e")).select("e.*")
+    counts = ends.groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
+    return counts.agg(F.max((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("least") == 0)))).first()[0] is not True
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -496,8 +502,10 @@ def near_copies(docs: DataFrame, text_col: str = "text", width: int = NEAR_WIDTH
     groups = led.join(above, F.col("b") == F.col("up"), "left").select(F.col("a").alias("node"), F.coalesce("top", "b").alias("root"))
     second = common.store(proposed(groups, True).join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_verified(second, sets))
-    third = proposed(components(links), False).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    return components(links.unionByName(_verified(third, sets)))
+    stars = components(links)
+    third = proposed(stars, False).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+    # the stars connect what all links did, and stay stars if no link is new
+    return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(third, sets)))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -38,6 +39,7 @@ from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -491,16 +493,30 @@ def train(texts: list[str], labels: list[int], totals: tuple[int, int] | None =
 
 
 def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: tuple[int, int] = SAMPLE, chars: int = SAMPLE_CHARS) -> Model | None:
-    """Train on at most so many labelled clean and toxic documents (and characters of them), never on the held-out third."""
+    """Train on at most so many labelled clean and toxic documents (and characters of them), never on the held-out third.
+
+    One task reads the sample and trains; the driver gets the model alone, neither texts nor a job for each partition of them.
+    """
     marked = labels.select("doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     totals = {bool(r["toxic"]): r["count"] for r in marked.where(~held).groupBy((F.col("toxic") != 0).alias("toxic")).count().collect()}
     few = [common.labelled_sample(marked.where((F.col("toxic") != 0) == bool(side)), "toxic", sample[side]) for side in (0, 1)]
     few = few[0].unionByName(few[1]).withColumnRenamed("doc_id", "__id")
     rows = docs.select("doc_id", common.text_or_empty(text_col).alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__id"))
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").select("r.text", "r.toxic")
-    texts, truth = common.bounded_texts(rows, chars)
-    return train(texts, truth, (totals.get(False, 0), totals.get(True, 0)))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("r"))
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("r.text", "r.toxic")
+    counts = (totals.get(False, 0), totals.get(True, 0))
+    common.bounded_batches(docs.sparkSession)
+    got = rows.mapInArrow(lambda batches: _trained(batches, chars, counts), "model binary").first()
+    return got and pickle.loads(got["model"])
+
+
+def _trained(batches: Iterator[pa.RecordBatch], chars: int, totals: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of (text, label) rows; no row where nothing can be learned."""
+    pairs = ((text.as_py(), label.as_py()) for batch in batches for text, label in zip(*batch.columns))
+    model = train(*common.first_texts(pairs, chars), totals)
+    if model is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def score_column(model: Model | None, text: Column) -> Column:
