@@ -75,8 +75,8 @@ def store(df: DataFrame, label: str) -> DataFrame:
 
     This cuts the lineage: the work before it runs once, and a lost executor
     costs a reread instead of a recomputation. The driver then collects its garbage,
-    for only so does Spark drop the shuffle files of that work, and the heap that its
-    plans and tasks had grown shrinks again instead of adding up over many writes.
+    so that Spark may drop the shuffle files of that work, and the heap that its
+    plans and tasks had grown can shrink again.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
